@@ -6,12 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm import bpe, quality, url_filter
+from erlink.llm import bpe, langid, mixing, quality, url_filter
 from erlink.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "lang_mix")
+
+
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["v2"])
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.Policy("base", quality.BASE).mask)) != 0
@@ -27,14 +37,15 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op3_language_mixture": op3_language_mixture,
     "op6_quality_ledger": op6_quality_ledger,
     "op9_url_filter": op9_url_filter,
     "op10_bpe_tree": op10_bpe_tree,
 }
 
-_OP6_FAILS = {name: sql for name, sql in quality.RULES}
-
 ORACLES = {
+    "op2_mix_sources": mixing.oracle(),
     "op6_quality_ledger": rf"""
 with d as (select row_number() over () rid, doc_id, coalesce(text, '') txt from documents),
 w as (select rid, doc_id, txt, regexp_extract_all(txt, '[^\x20\x09-\x0D]+') ws from d),
