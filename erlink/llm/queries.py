@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm import bpe, langid, mixing, quality, url_filter
+from erlink.llm import bpe, langid, mixing, quality, url_filter, warc
 from erlink.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,10 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_language_mixture": op3_language_mixture,
     "op6_quality_ledger": op6_quality_ledger,
+    "op8_warc_index": op8_warc_index,
     "op9_url_filter": op9_url_filter,
     "op10_bpe_tree": op10_bpe_tree,
 }
@@ -63,6 +68,7 @@ m as (select doc_id, len(ws)::bigint n_words,
 b as (select *, ({" + ".join(f"(case when {sql} then {quality.bit(name)} else 0 end)" for name, sql in quality.RULES)})::bigint fail_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (fail_bits & {quality.Policy("base", quality.BASE).mask}) <> 0 base_failed, (fail_bits & {quality.POLICIES["v2"].mask}) = 0 kept, fail_bits from b""",
+    "op8_warc_index": warc.ORACLE,
     "op9_url_filter": rf"""
 with s as (select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest,
     translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low from pages),
