@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm import bpe, langid, mixing, quality, url_filter, warc
+from erlink.llm import bpe, langid, mixing, pii, quality, url_filter, warc
 from erlink.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,10 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def op7_pii_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_language_mixture": op3_language_mixture,
     "op6_quality_ledger": op6_quality_ledger,
+    "op7_pii_weak_labels": op7_pii_weak_labels,
     "op8_warc_index": op8_warc_index,
     "op9_url_filter": op9_url_filter,
     "op10_bpe_tree": op10_bpe_tree,
