@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm import ann, bpe, langid, mixing, pii, quality, url_filter, warc
+from erlink.llm import ann, bpe, html_extract, langid, mixing, pii, quality, url_filter, warc
 from erlink.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,10 @@ def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["v2"])
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.Policy("base", quality.BASE).mask)) != 0
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_language_mixture": op3_language_mixture,
     "op4_kmeans_tree": op4_kmeans_tree,
+    "op5_wrapper_induction": op5_wrapper_induction,
     "op6_quality_ledger": op6_quality_ledger,
     "op7_pii_weak_labels": op7_pii_weak_labels,
     "op8_warc_index": op8_warc_index,
