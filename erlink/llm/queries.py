@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erlink.llm import ann, bpe, html_extract, langid, mixing, pii, quality, url_filter, warc
+from erlink.llm import ann, bpe, html_extract, langid, mixing, ngram_join, pii, quality, url_filter, warc
 from erlink.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_language_mixture": op3_language_mixture,
     "op4_kmeans_tree": op4_kmeans_tree,
