@@ -172,3 +172,11 @@ def weighted_mean(reference: DataFrame, other: DataFrame, z: str, value: str, ed
     b = inner(other).groupBy(bin_of.alias("bin")).agg(n_rows().alias("b"), F.avg(value).alias("v"))
     joined = b.join(a, "bin")  # bins that one side lacks weigh nothing
     return joined.agg(F.round(F.sum(F.col("a") * F.col("v")) / F.sum("a"), 6).alias("weighted_mean"), F.sum("b").cast("bigint").alias("n_other"))
+
+
+def sigmoid(z: Column) -> Column:
+    return 1 / (1 + F.exp(-z))
+
+
+def logit(p: Column) -> Column:
+    return F.log(p / (1 - p))
