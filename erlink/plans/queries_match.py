@@ -94,9 +94,9 @@ def plain_scored(c: Context):
     return rows.withColumn("z", F.round(z, 9))
 
 
-@query("m03_linear_score", f"with {FEATURES} select s1_id, cand_id, round(z, 6) z from scored", "er")
+@query("m03_linear_score", f"with {FEATURES} select s1_id, cand_id, round(z, 6) + 0.0 z from scored", "er")
 def _(c):
-    return plain_scored(c).select("s1_id", "cand_id", F.round("z", 6).alias("z"))
+    return plain_scored(c).select("s1_id", "cand_id", (F.round("z", 6) + 0.0).alias("z"))
 
 
 @query("m01_standardize", f"with {FEATURES}, m as (select avg(name_token_jaccard) a, stddev_pop(name_token_jaccard) b, avg(name_len_diff) c, stddev_pop(name_len_diff) d from feat) select s1_id, cand_id, round((name_token_jaccard - a) / b, 6) name_token_jaccard, round((name_len_diff - c) / d, 6) name_len_diff from feat, m", "er")
@@ -186,7 +186,7 @@ def _(c):
 @query("t05_ablation")
 def _(c):
     """Fit on even keys, tune the threshold there, evaluate on odd keys: with names only, with addresses, with both."""
-    rows = B.with_labels(P.sql_features(base_pairs(c)), c.truth)
+    rows = B.with_labels(P.sql_features(base_pairs(c)), c.truth).select("s1_id", "cand_id", "label", *NAMES, *ADDRESSES).persist()
     half = F.crc32("s1_id") % 2
     n_true = c.truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true"))
     entities = c.s1.select(F.col("entity_id").alias("s1_id"), "country").join(n_true, "s1_id", "left").na.fill(0, ["n_true"])
