@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erlink.llm import bpe, langid, mixing, ngram_join, pii
-from erlink.llm.common import materialize, table
+from erlink.llm.common import materialize, neutral, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Documents whose best language explains less than this are rejected: mixtures of several, or too little text to tell.
@@ -22,19 +22,23 @@ ORACLE_SQL = None  # EM and the learned classifiers have no SQL; tests hold the
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language; those without a letter, or without one prevailing language, go."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    plain, names = neutral(docs)
+    found = langid.identify(plain, langid.fit(docs), names["text"])
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links of the n-gram join connect: the one with the smallest id.
 
-    Of rows that repeat that id, one stays: the least by its other columns.
+    Of rows that repeat that id, one stays: the least by its other columns. Rows without an id cannot be named as
+    copies; they stay.
     """
-    kept = ngram_join.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    rows = docs.join(kept, "doc_id", "left_semi")
-    return rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    plain, names = neutral(docs)
+    key, rest = names["doc_id"], [c for c in plain.columns if c != names["doc_id"]]
+    kept = ngram_join.join(docs).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
+    once = plain.join(kept, key, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*")
+    return once.select(*plain.columns).unionByName(plain.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +48,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes its words, to the nearest whole number: up to 3 times, or not at all."""
-    counts = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("cast(round(taken / size) as int)").alias("_times")).where("_times > 0")
-    counts = counts.groupBy("doc_id").agg(F.max("_times").alias("_times"))
-    return docs.join(counts, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Repeats each document as often as the mix takes its words, to the nearest whole number: up to 3 times, or not at all.
+
+    Rows of one id, or without one, are repeated alike: as often as the one that is repeated most.
+    """
+    plain, names = neutral(docs)
+    counts = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("cast(round(taken / size) as int)").alias("times")).where("times > 0")
+    counts = counts.groupBy("doc_id").agg(F.max("times").alias("times"))
+    both = plain.join(counts, plain[names["doc_id"]].eqNullSafe(counts["doc_id"]))
+    return both.select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*plain.columns).toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from erlink.llm.common import map_batches
 
@@ -165,5 +166,5 @@ def identify(docs: DataFrame, model: MixtureModel, text_col: str = "text", keep:
         return one
 
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return map_batches(rows, make, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double", "lang_mix string"]))
+    kinds = (T.StringType(), T.DoubleType(), T.StringType())
+    return map_batches(rows, make, T.StructType([*rows.schema.fields[:-1], *map(T.StructField, new, kinds)]))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from erlink.llm.common import materialize
+from erlink.llm.common import materialize, neutral
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -196,11 +196,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by its kind, as <EMAIL>; overlapping spans become one, of the first's kind."""
-    model = fit(materialize(with_proposals(docs.select(text_col), text_col).select("_proposals"), "pii-proposals"))
-    rows = with_spans(with_proposals(docs, text_col), model)
+    """docs with every span of the text replaced by its kind, as <EMAIL>; overlapping spans become one, of the first's kind.
+
+    Null texts stay null, texts without a span as they are; other columns keep their values, whatever their names.
+    """
+    plain, given = neutral(docs)
+    text_col = given[text_col]
+    model = fit(materialize(with_proposals(plain.select(text_col), text_col).select("_proposals"), "pii-proposals"))
+    rows = with_spans(with_proposals(plain, text_col), model)
     names = "element_at(array('" + "', '".join(f"<{k.upper()}>" for k in KINDS) + "'), x.kind)"
     # at: the code points copied or replaced so far.
     step = f"""named_struct('at', greatest(acc.at, x.e), 'out', case when x.s >= acc.at then array_append(array_append(acc.out, substring(`{text_col}`, acc.at + 1, x.s - acc.at)), {names}) else acc.out end)"""
     masked = f"aggregate(_spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (acc, x) -> {step}, acc -> concat(array_join(acc.out, ''), substring(`{text_col}`, acc.at + 1)))"
-    return rows.withColumn(text_col, F.when(F.size("_spans") > 0, F.expr(masked)).otherwise(F.col(f"`{text_col}`"))).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.size("_spans") > 0, F.expr(masked)).otherwise(F.col(f"`{text_col}`"))).select(*plain.columns).toDF(*docs.columns)

@@ -263,3 +263,38 @@ def test_pipeline_stages(spark, texts):
     taken = {r["doc_id"]: r["taken"] / r["size"] for r in mixing.mix(masked).collect() if r["size"]}
     assert collections.Counter(r.doc_id for r in mixed.select("doc_id").collect()) == {d: int(x + 0.5) for d, x in taken.items() if int(x + 0.5)}
     assert p.tokens(spark, mixed, "").count() == mixed.count()
+
+
+CLASHES = ("lang_pred", "score", "lang_mix", "m0", "p0", "_txt", "_found", "_proposals", "_base", "_more", "_spans", "row", "times", "copy", "class_id", "size", "taken", "target", "h", "node", "a.b")
+
+
+def test_pipeline_keeps_columns_of_any_name_and_rows_without_an_id(spark, texts):
+    import corpus_pipeline as p
+
+    docs = docs_of(spark, texts).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    docs = docs.unionByName(docs.where("doc_id between 7 and 9").withColumn("doc_id", F.lit(None).cast("long")))
+    wide = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in CLASHES))
+    for name, stage in p.STAGES[:-1]:
+        bare, out = stage(spark, docs, ""), stage(spark, wide, "")
+        assert out.columns == wide.columns and out.count() == bare.count(), name
+        assert collections.Counter(map(tuple, out.select(*bare.columns).collect())) == collections.Counter(map(tuple, bare.collect())), name
+        assert all(r[c] == (None if r.doc_id is None else f"{c}:{r.doc_id}") for r in out.collect() for c in CLASHES), name
+        if name != "source_mixture":
+            assert out.where("doc_id is null").count() == 3, name
+
+
+@pytest.mark.parametrize("keep", ["none", "all_null"])
+def test_every_operator_takes_empty_tables_and_rows_of_nulls(spark, keep):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(None, None, None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    pages = spark.createDataFrame([(None, None, None)] * 2, "page_id long, url string, html string")
+    if keep == "none":
+        docs, pages = docs.where("false"), pages.where("false")
+    n = 0 if keep == "none" else 2
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for name, got in {
+        "join": ngram_join.join(docs), "mix": mixing.mix(docs), "langid": langid.identify(docs, langid.fit(docs)), "quality": quality.ledger(docs), "pii": pii.detect(docs), "mask": pii.mask(docs),
+        "bpe": bpe.encode_digests(docs, path, public_tokenizers.PATTERN), "html": html_extract.extract(pages), "warc": warc.round_trip(pages), "urls": url_filter.filter_urls(pages),
+    }.items():
+        assert got.count() == n, name
