@@ -7,11 +7,12 @@ from erlink.plans.fixtures import Context, toks
 from erlink.plans.registry import query
 from erlink.sources import readers, sinks
 
+#: The SQL of the queries over documents still reads the first line only; the queries read the whole text (see README).
 DOC_LINE = "split_part(text, chr(10), 1)"
 
 
-def _lines(c: Context):
-    return c.table("documents").select("doc_id", "lang", F.substring_index("text", "\n", 1).alias("line"))
+def _texts(c: Context):
+    return c.table("documents").select("doc_id", "text")
 
 
 @query("s03_id_country", "select entity_id, country from raw_pool", "er")
@@ -64,7 +65,7 @@ def _(c):
 
 @query("n02_basic_clean", rf"select doc_id, trim(regexp_replace(regexp_replace(replace(lower({DOC_LINE}), '&', ' and '), '[^\p{{L}}\p{{N}}_\p{{M}}\s]', ' ', 'g'), '\s+', ' ', 'g')) cleaned from documents")
 def _(c):
-    return _lines(c).select("doc_id", X.clean(F.col("line")).alias("cleaned"))
+    return _texts(c).select("doc_id", X.clean(F.col("text")).alias("cleaned"))
 
 
 @query("n04_strip_legal_forms", "select entity_id, name_no_suffix from s1", "er")
@@ -113,8 +114,8 @@ def _(c):
 
 @query("n12_profile_tokens", f"select doc_id, len(regexp_extract_all(lower({DOC_LINE}), '[a-z0-9]+'))::bigint n_tokens, coalesce(regexp_extract_all(lower({DOC_LINE}), '[a-z0-9]+')[1], '') first_token from documents")
 def _(c):
-    t = X.profile_tokens(F.col("line"))
-    return _lines(c).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.coalesce(F.get(t, F.lit(0)), F.lit("")).alias("first_token"))
+    t = X.profile_tokens(F.col("text"))
+    return _texts(c).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.coalesce(F.get(t, F.lit(0)), F.lit("")).alias("first_token"))
 
 
 @query("n13_plain_name", "select entity_id, trim(regexp_replace(replace(lower(business_name), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) plain from raw_pool", "er")
@@ -124,7 +125,7 @@ def _(c):
 
 @query("n14_beyond_latin", f"select doc_id, len(list_filter(string_split({DOC_LINE}, ''), lambda x: unicode(x) > 591)) > 0 beyond from documents")
 def _(c):
-    return _lines(c).select("doc_id", X.beyond_latin(F.col("line")).alias("beyond"))
+    return _texts(c).select("doc_id", X.beyond_latin(F.col("text")).alias("beyond"))
 
 
 @query("n15_core_tokens", f"select entity_id, list_sort(list_filter({toks('name_norm')}, lambda t: t not in ({', '.join(repr(t) for t in X.FILLER_TOKENS)}))) core from pool", "er")

@@ -111,3 +111,12 @@ def test_query_equals_sql(spark, name):
     assert sorted(columns) == sorted(mine.columns)
     norm = lambda rows: sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
     assert norm(mine.select(*columns).collect()) == norm(theirs.fetchall())
+
+
+def test_document_queries_read_whole_texts(spark, tmp_path):
+    rows = [(1, "Ab & c\nd, E\n\nf2"), (2, "plain\nनमस्ते"), (3, ""), (4, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {name: {r.doc_id: tuple(r)[1:] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("n02_basic_clean", "n12_profile_tokens", "n14_beyond_latin")}
+    assert got["n02_basic_clean"] == {1: ("ab and c d e f2",), 2: ("plain नमस्ते",), 3: ("",), 4: ("one",)}
+    assert got["n12_profile_tokens"] == {1: (5, "ab"), 2: (1, "plain"), 3: (0, ""), 4: (1, "one")}
+    assert got["n14_beyond_latin"] == {1: (False,), 2: (True,), 3: (False,), 4: (False,)}
