@@ -2,7 +2,8 @@
 
 Every pattern rule lists the literal tokens (runs of ASCII letters and digits) that any url it fits must hold. It is
 filed under the one that fewest rules share. A url's tokens fetch candidate rules from that index and only their
-regular expressions run, so the work for a url does not grow with the number of rules.
+regular expressions run, so the work for a url does not grow with the number of such rules. A rule whose literal may be
+part of a longer token has no token to be filed under; its regular expression runs for every url.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class PathRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression over the url, A-Z lower-cased, and whole tokens that each url it fits must contain."""
+    """A regular expression over the url, A-Z lower-cased, and whole tokens that each url it fits must contain; none: always tested."""
 
     verdict: str
     tokens: tuple[str, ...]
@@ -50,7 +51,7 @@ PATH_RULES = (
 PATTERN_RULES = (
     PatternRule("block", ("cheap", "pills"), r"^[a-z]+://([a-z0-9-]+\.)*cheap-pills\."),
     PatternRule("block", ("spam", "farm"), r"^[a-z]+://([a-z0-9-]+\.)*spam-farm\."),
-    PatternRule("block", ("casino",), r"^[a-z]+://[^/?#]*casino[.-]"),
+    PatternRule("block", (), r"^[a-z]+://[^/?#]*casino[.-]"),
     PatternRule("block", ("adserver",), r"^[a-z]+://([a-z0-9-]+\.)*adserver\."),
     PatternRule("block", ("doubleclick", "net"), r"^[a-z]+://([a-z0-9-]+\.)*doubleclick\.net([:/?#]|$)"),
     PatternRule("block", ("login",), r"^[a-z]+://[^/?#]*(/[^?#]*)?/login([./?#]|$)"),
@@ -79,11 +80,14 @@ class RuleIndex:
             self.by_host.setdefault(rule.host, []).append(rule)
         shared = Counter(t for r in pattern_rules for t in set(r.tokens))
         self.by_token: dict[str, list[tuple[int, str, re.Pattern]]] = {}
+        self.always: list[tuple[int, str, re.Pattern]] = []
         for i, rule in enumerate(pattern_rules):
+            entry = (i, rule.verdict, re.compile(rule.pattern))
             if not rule.tokens:
-                raise ValueError("a pattern rule needs a literal token")
+                self.always.append(entry)
+                continue
             rarest = min(rule.tokens, key=lambda t: (shared[t], -len(t), t))
-            self.by_token.setdefault(rarest, []).append((i, rule.verdict, re.compile(rule.pattern)))
+            self.by_token.setdefault(rarest, []).append(entry)
 
     def base(self, host: str, path: str) -> PathRule | None:
         """The longest fitting rule: the host's suffixes fetch their rules."""
@@ -98,7 +102,7 @@ class RuleIndex:
 
     def method(self, url: str | None) -> str:
         low = (url or "").translate(_LOWER)
-        candidates = sorted({c[0]: c for t in set(TOKEN.findall(low)) for c in self.by_token.get(t, ())}.items())
+        candidates = sorted({c[0]: c for found in (self.always, *(self.by_token.get(t, ()) for t in set(TOKEN.findall(low)))) for c in found}.items())
         return next((verdict for _, (_, verdict, pattern) in candidates if pattern.search(low)), self.default)
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:

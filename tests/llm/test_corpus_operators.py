@@ -231,6 +231,15 @@ def test_url_filter(spark):
     assert {u: tuple(r)[1:] for (_, u), r in zip(rows, sorted(got), strict=True)} == cases
 
 
+def test_url_index_equals_all_patterns():
+    index, rng = url_filter.RuleIndex(), random.Random(3)
+    parts = ["casino", "888", "big", "cheap-pills", "cheap", "spam-farm", "adserver", "doubleclick.net", "login", "cart", "wp-admin", "é", "a", "-", ".", "/", "?", "#", ":", "\n"]
+    urls = ["https://bigcasino.net/", "http://888casino.net/x", *(f"{rng.choice(['http', 'x'])}://{''.join(rng.choice(parts) for _ in range(rng.randint(1, 8)))}" for _ in range(20_000))]
+    every = [(r.verdict, re.compile(r.pattern)) for r in url_filter.PATTERN_RULES]
+    assert [index.method(u) for u in urls] == [next((v for v, p in every if p.search(u)), "allow") for u in urls]
+    assert [index.method(u) for u in urls[:2]] == ["block", "block"]
+
+
 def test_bpe_tree(spark, monkeypatch):
     tokenizers = pytest.importorskip("public_tokenizers")
     codec = bpe.TreeBpe(bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken")), tokenizers.PATTERN)
