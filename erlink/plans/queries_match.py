@@ -27,13 +27,17 @@ def records(c: Context, side: str):
     return norm.join(translit, "entity_id").join(numbers, "entity_id")
 
 
-def base_pairs(c: Context, config: str = "D4"):
+#: The configuration of the match, the features and the models; queries whose SQL names D4 ask for that.
+CONFIG = "D3"
+
+
+def base_pairs(c: Context, config: str = CONFIG):
     """Candidates of a configuration with the columns that built-in features need."""
     plain = [x for x in P.RECORD_COLUMNS if x != "name_translit"]
     return B.hydrate(B.candidates(c.s1, c.pool, B.CONFIGS[config]), c.s1, c.pool, tuple(plain))
 
 
-def feature_pairs(c: Context, config: str = "D4"):
+def feature_pairs(c: Context, config: str = CONFIG):
     """All 42 features of a configuration's candidates, with labels."""
     pairs = B.hydrate(B.candidates(c.s1, c.pool, B.CONFIGS[config]), records(c, "s1"), records(c, "pool"), (*P.RECORD_COLUMNS, *P.NUMBER_COLUMNS))
     return B.with_labels(P.all_features(pairs), c.truth)
@@ -83,11 +87,11 @@ def _spark_picked(names: list[str]):
 
 
 for _name, _columns in (("f01_f05_f10_name_features", NAMES), ("f11_f19_address_features", ADDRESSES), ("f21_f28_channel_features", ["country_equal", "n_channels_hit"])):
-    query(_name, f"with {FEATURES} select s1_id, cand_id, {_picked(_columns)} from feat", "er")(lambda c, columns=_columns: P.sql_features(base_pairs(c)).select("s1_id", "cand_id", *_spark_picked(columns)))
+    query(_name, f"with {FEATURES} select s1_id, cand_id, {_picked(_columns)} from feat", "er")(lambda c, columns=_columns: P.sql_features(base_pairs(c, "D4")).select("s1_id", "cand_id", *_spark_picked(columns)))
 
 
 def plain_scored(c: Context):
-    rows = P.sql_features(base_pairs(c))
+    rows = P.sql_features(base_pairs(c, "D4"))
     z = F.lit(BIAS)
     for f, w in WEIGHTS.items():
         z = z + w * F.col(f)
@@ -101,7 +105,7 @@ def _(c):
 
 @query("m01_standardize", f"with {FEATURES}, m as (select avg(name_token_jaccard) a, stddev_pop(name_token_jaccard) b, avg(name_len_diff) c, stddev_pop(name_len_diff) d from feat) select s1_id, cand_id, round((name_token_jaccard - a) / b, 6) name_token_jaccard, round((name_len_diff - c) / d, 6) name_len_diff from feat, m", "er")
 def _(c):
-    rows = P.sql_features(base_pairs(c)).select("s1_id", "cand_id", "name_token_jaccard", "name_len_diff")
+    rows = P.sql_features(base_pairs(c, "D4")).select("s1_id", "cand_id", "name_token_jaccard", "name_len_diff")
     names = ["name_token_jaccard", "name_len_diff"]
     return L.standardized(rows, names, *L.moments(rows, names)).select("s1_id", "cand_id", *(F.round(n, 6).alias(n) for n in names))
 
@@ -179,7 +183,7 @@ def _(c):
 @query("m04_boosted_trees")
 def _(c):
     rows = B.with_labels(P.sql_features(base_pairs(c)), c.truth)
-    trees, data = L.fit_trees(rows, list(WEIGHTS), rounds=5)
+    trees, data = L.fit_trees(rows, list(WEIGHTS), rounds=200)
     return trees.transform(data).groupBy("label", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -120,3 +120,24 @@ def test_document_queries_read_whole_texts(spark, tmp_path):
     assert got["n02_basic_clean"] == {1: ("ab and c d e f2",), 2: ("plain नमस्ते",), 3: ("",), 4: ("one",)}
     assert got["n12_profile_tokens"] == {1: (5, "ab"), 2: (1, "plain"), 3: (0, ""), 4: (1, "one")}
     assert got["n14_beyond_latin"] == {1: (False,), 2: (True,), 3: (False,), 4: (False,)}
+
+
+def test_models_run_on_the_production_configuration(spark, monkeypatch):
+    from erlink.plans import queries_match as Q
+
+    c = registry.Context(spark, SF)
+    production = B.candidates(c.s1, c.pool, B.CONFIGS["D3"]).select("s1_id", "cand_id")
+    assert production.count() > B.candidates(c.s1, c.pool, B.CONFIGS["D4"]).count()
+    for pairs in (Q.base_pairs(c), Q.feature_pairs(c)):
+        got = pairs.select("s1_id", "cand_id")
+        assert got.exceptAll(production).count() == production.exceptAll(got).count() == 0
+
+    class Stop(Exception):
+        pass
+
+    def rounds_of(rows, features, rounds):
+        raise Stop(rounds)
+
+    monkeypatch.setattr(L, "fit_trees", rounds_of)
+    with pytest.raises(Stop, match="^200$"):
+        registry.QUERIES["m04_boosted_trees"](spark, SF)
