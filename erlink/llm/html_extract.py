@@ -11,10 +11,12 @@ hosts with too few pages to compare.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import sys
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ from erlink.llm.common import materialize, small
 BLOCK = 64
 #: A node is template if its text is the same in this share of at least MIN_PAGES aligned pages; within an article more.
 TEMPLATE_SHARE, ARTICLE_SHARE, MIN_PAGES, MIN_ARTICLE_PAGES = 0.6, 0.9, 3, 6
-#: Lists whose product of lengths exceeds this are aligned from both ends only.
-FULL_ALIGNMENT = 4096
+#: Lists whose product of lengths exceeds this are aligned row by row; CELLS bounds the rows kept at once, else about a square root of them.
+FULL_ALIGNMENT, CELLS = 4096, 1 << 20
 #: What is nested deeper is flattened into its ancestor at this depth; the interpreter's stack allows for it.
 DEPTH = 2000
 
@@ -198,16 +200,9 @@ def match_trees(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
     pairs.append((a, b))
     if not x or not y:
         return 1
-    total, lo = 1, 0
+    total = 1
     if len(x) * len(y) > FULL_ALIGNMENT:
-        while lo < min(len(x), len(y)) and x[lo].label == y[lo].label:
-            total += match_trees(x[lo], y[lo], pairs)
-            lo += 1
-        tail = 0
-        while tail < min(len(x), len(y)) - lo and x[-1 - tail].label == y[-1 - tail].label:
-            total += match_trees(x[-1 - tail], y[-1 - tail], pairs)
-            tail += 1
-        return total
+        return total + match_lists(x, y, pairs) // 2
     weight: dict[tuple[int, int], int] = {}
     inner: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
     m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -243,6 +238,50 @@ def match_trees(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
     return total + m[-1][-1] // 2
 
 
+def match_lists(x: list[Node], y: list[Node], pairs: list[tuple[Node, Node]]) -> int:
+    """The weight of the same assignment as of match_trees between long lists; not all rows of its table are kept."""
+    names: dict[str, int] = {}
+    number = lambda words: np.array([names.setdefault(w, len(names)) for w in words], np.int64)
+    labels, texts = (number(q.label for q in y), number(p.label for p in x)), (number(q.text for q in y), number(p.text for p in x))
+    inner = np.array([bool(q.nodes()) for q in y])
+
+    def after(above: np.ndarray, i: int) -> np.ndarray:
+        fits = labels[0] == labels[1][i]
+        w = np.where(fits, 2 + (texts[0] == texts[1][i]), 0)
+        if x[i].nodes():
+            for j in np.flatnonzero(fits & inner):
+                w[j] = match_trees(x[i], y[j], []) * 2 + (x[i].text == y[j].text)
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w), out=row[1:])
+        return row
+
+    step = max(math.isqrt(len(x)) + 1, CELLS // len(y))
+    row, kept = np.zeros(len(y) + 1, np.int64), []
+    if step < len(x):
+        for i in range(len(x)):
+            if i % step == 0:
+                kept.append(row)
+            row = after(row, i)
+    else:
+        kept.append(row)
+    best, j = None, len(y)
+    for lo in reversed(range(0, len(x), step)):
+        table = [kept.pop()]
+        for i in range(lo, min(lo + step, len(x))):
+            table.append(after(table[-1], i))
+        best = int(table[-1][-1]) if best is None else best
+        for i in reversed(range(len(table) - 1)):
+            while j and table[i + 1][j] == table[i + 1][j - 1]:
+                j -= 1
+            if j and table[i + 1][j] != table[i][j]:
+                j -= 1
+                if x[lo + i].nodes() and inner[j]:
+                    match_trees(x[lo + i], y[j], pairs)
+                else:
+                    pairs.append((x[lo + i], y[j]))
+    return best
+
+
 def extract_block(sources: list[str]) -> list[str]:
     """Main texts of pages of one host, aligned with the first of them."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 5 * DEPTH))

@@ -207,6 +207,26 @@ def test_wrapper_induction(spark):
     assert [got[i].text for i in (21, 22, 23)] == ["", "", "deep"]
 
 
+def test_long_lists_align_exactly(monkeypatch):
+    rng = random.Random(5)
+    tree = lambda n: html_extract.parse("".join(rng.choice(["<p>a</p>", "<p>b</p>", "<h2>a</h2>", "<div><p>a</p><i>b</i></div>", "<div><p>b</p></div>", "<hr>"]) for _ in range(n)))
+    for _ in range(60):
+        a, b = tree(rng.randrange(1, 40)), tree(rng.randrange(1, 40))
+        found = []
+        for full, cells in ((4096, 1 << 20), (0, 1 << 20), (0, 1)):
+            monkeypatch.setattr(html_extract, "FULL_ALIGNMENT", full)
+            monkeypatch.setattr(html_extract, "CELLS", cells)
+            pairs = []
+            found.append(html_extract.match_trees(a, b, pairs))
+            top = [(p, q) for p, q in reversed(pairs) if p in a.nodes()]
+            assert all(p.label == q.label for p, q in pairs[1:]) and [a.nodes().index(p) for p, _ in top] == sorted(a.nodes().index(p) for p, _ in top)
+            assert [b.nodes().index(q) for _, q in top] == sorted(b.nodes().index(q) for _, q in top)
+        assert len(set(found)) == 1, found
+    monkeypatch.undo()
+    page = lambda i: "<main>" + "".join(f"<p>x{i} {k}</p>" for k in range(70 + i)) + "<h2>Same</h2>" + "".join(f"<p>y{i} {k}</p>" for k in range(80 + i)) + "</main>"
+    assert not any("Same" in t for t in html_extract.extract_block([page(i) for i in range(9)]))
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "v", ""), (5, "w", "é" * 50_000), (6, "x", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
