@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host are dealt into blocks of at most about BLOCK pages (by a hash of the id, so that a host with a third of
-all pages is many blocks). In a block the DOM trees are aligned with that of one page by simple tree matching: of two
-lists of children, the order-preserving assignment with the most matching nodes. Nodes whose text is the same in most of
-the aligned pages are the host's template; the varying slots are content. What the page itself says about its parts
+all pages is many blocks). In a block the DOM trees are aligned with one template by simple tree matching: of two lists
+of children, the order-preserving assignment with the most matching nodes; what the template lacks is added to it, so
+that no page is the measure of the others. Nodes whose text is the same in most of the aligned pages are the host's template; the varying slots are content. What the page itself says about its parts
 (article and main elements; nav, footer, form and so on; names of classes) bounds the content, and serves alone for
 hosts with too few pages to compare.
 """
@@ -282,33 +282,62 @@ def match_lists(x: list[Node], y: list[Node], pairs: list[tuple[Node, Node]]) ->
     return best
 
 
+def grow(pairs: list[tuple[Node, Node]]) -> None:
+    """Adds the nodes of a page that no node of the template matches to the template, in place, and to pairs."""
+    of = {id(q): p for p, q in pairs}
+
+    def copy(q: Node) -> Node:
+        p = Node(q.tag)
+        p.label, p._text = q.label, q.text
+        pairs.append((p, q))
+        p.children = p._nodes = [copy(c) for c in q.nodes()]
+        return p
+
+    for p, q in list(pairs):
+        old, at, merged = p.nodes(), 0, []
+        for c in q.nodes():
+            match = of.get(id(c))
+            if match is None:
+                merged.append(copy(c))
+                continue
+            while old[at] is not match:
+                merged.append(old[at])
+                at += 1
+            merged.append(match)
+            at += 1
+        p.children = p._nodes = [*merged, *old[at:]]
+
+
 def extract_block(sources: list[str]) -> list[str]:
-    """Main texts of pages of one host, aligned with the first of them."""
+    """Main texts of pages of one host, aligned with a template that grows by what each page has and those before lacked."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 5 * DEPTH))
     roots = [parse(s) for s in sources]
     regions = [region(r) for r in roots]
     if len(roots) < MIN_PAGES:
         return [blocks(g if g is not None else r, set(), g is not None) for r, g in zip(roots, regions, strict=True)]
-    pivot = roots[0]
-    same: Counter[int] = Counter()
-    seen: Counter[int] = Counter()
+    template = Node("#root")
+    texts: dict[int, Counter[str]] = {id(template): Counter()}
     aligned: list[list[tuple[Node, Node]]] = []
     contents = set()
     for root, main in zip(roots, regions, strict=True):
         pairs: list[tuple[Node, Node]] = []
-        match_trees(pivot, root, pairs)
+        match_trees(template, root, pairs)
         aligned.append(pairs)
         content = (main if main is not None else root).text
         if content in contents:  # copies of a page say nothing about the template
             continue
         contents.add(content)
+        grow(pairs)
         for p, q in pairs:
-            seen[id(p)] += 1
-            same[id(p)] += p.text == q.text
+            found = texts.setdefault(id(p), Counter())
+            found[q.text] += 1
+            if found[q.text] > found[p.text]:
+                p._text = q.text
+    seen = {k: found.total() for k, found in texts.items()}
     out = []
     for root, main, pairs in zip(roots, regions, aligned, strict=True):
         least, share = (MIN_ARTICLE_PAGES, ARTICLE_SHARE) if main is not None else (MIN_PAGES, TEMPLATE_SHARE)
-        constant = {id(q) for p, q in pairs if seen[id(p)] >= least and same[id(p)] >= share * seen[id(p)] and seen[id(p)] >= share * len(contents) and p.text == q.text and q.tag not in INLINE and q is not main and q is not root and q.text}
+        constant = {id(q) for p, q in pairs if seen[id(p)] >= least and texts[id(p)][p.text] >= share * seen[id(p)] and seen[id(p)] >= share * len(contents) and p.text == q.text and q.tag not in INLINE and q is not main and q is not root and q.text}
         out.append(blocks(main if main is not None else root, constant, main is not None))
     return out
 

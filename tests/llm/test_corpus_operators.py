@@ -227,6 +227,13 @@ def test_long_lists_align_exactly(monkeypatch):
     assert not any("Same" in t for t in html_extract.extract_block([page(i) for i in range(9)]))
 
 
+def test_template_does_not_depend_on_the_first_page():
+    page = lambda i: f"<html><body><div>Menu</div><div class=x><p>Para {i}.</p></div><ul><li>Notice</li></ul><section>Foot</section></body></html>"
+    pages, want = [page(i) for i in range(12)], [f"Para {i}." for i in range(12)]
+    for first in ("", "<html><body><table><tr><td>404</td></tr></table></body></html>", page(99).replace("<ul><li>Notice</li></ul>", ""), page(99).replace("Menu", "Other")):
+        assert html_extract.extract_block([first, *pages])[1:] == want
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "v", ""), (5, "w", "é" * 50_000), (6, "x", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
