@@ -144,23 +144,34 @@ def dropped(node: Node) -> bool:
     return node.tag in DROP_TAGS or node.role in DROP_ROLES or node.hidden or not DROP_WORDS.isdisjoint(node.words) and node.tag not in ("body", "html", "main")
 
 
-def region(root: Node) -> Node | None:
-    """The page's own main part: of article elements the one with most text, unless a main element has over twice that."""
-    articles, mains, stack = [], [], [root]
+def region(root: Node) -> list[Node]:
+    """The page's own main parts, in page order: main and article elements that are in no other; none if all are empty."""
+    found, stack = [], [root]
     while stack:
         x = stack.pop()
         if dropped(x):
             continue
-        if x.tag == "article":
-            articles.append(x)
-        elif x.tag == "main" or x.role == "main":
-            mains.append(x)
+        if x.tag in ("article", "main") or x.role == "main":
+            if x.tag == "article" or x.text:
+                found.append(x)
+            continue
         stack.extend(reversed(x.nodes()))
-    best = max(articles, key=lambda x: len(x.text), default=None)
-    whole = max(mains, key=lambda x: len(x.text), default=None)
-    if best is None or whole is not None and len(whole.text) > 2 * len(best.text):
-        return whole if whole is not None and whole.text else best
-    return best
+    return found
+
+
+def in_articles(regions: list[Node]) -> set[int]:
+    """The ids of all nodes of article elements in the regions, or of the regions where none has an article."""
+    def below(nodes, inside):
+        out, stack = set(), [(x, inside) for x in nodes]
+        while stack:
+            x, within = stack.pop()
+            within |= x.tag == "article"
+            if within:
+                out.add(id(x))
+            stack.extend((c, within) for c in x.nodes())
+        return out
+
+    return below(regions, False) or below(regions, True)
 
 
 def blocks(node: Node, skip: set[int], inside: bool) -> str:
@@ -190,6 +201,10 @@ def blocks(node: Node, skip: set[int], inside: bool) -> str:
     return " ".join("".join(out).split())
 
 
+def main_text(root: Node, regions: list[Node], skip: set[int]) -> str:
+    return " ".join(t for x in regions if (t := blocks(x, skip, True))) if regions else blocks(root, skip, False)
+
+
 def _headings(node: Node) -> list[Node]:
     return [node] if node.tag in HEADINGS else [h for c in node.nodes() if not dropped(c) for h in _headings(c)]
 
@@ -314,7 +329,7 @@ def extract_block(sources: list[str]) -> list[str]:
     roots = [parse(s) for s in sources]
     regions = [region(r) for r in roots]
     if len(roots) < MIN_PAGES:
-        return [blocks(g if g is not None else r, set(), g is not None) for r, g in zip(roots, regions, strict=True)]
+        return [main_text(r, g, set()) for r, g in zip(roots, regions, strict=True)]
     template = Node("#root")
     texts: dict[int, Counter[str]] = {id(template): Counter()}
     aligned: list[list[tuple[Node, Node]]] = []
@@ -323,7 +338,7 @@ def extract_block(sources: list[str]) -> list[str]:
         pairs: list[tuple[Node, Node]] = []
         match_trees(template, root, pairs)
         aligned.append(pairs)
-        content = (main if main is not None else root).text
+        content = " ".join(x.text for x in main or [root])
         if content in contents:  # copies of a page say nothing about the template
             continue
         contents.add(content)
@@ -336,9 +351,14 @@ def extract_block(sources: list[str]) -> list[str]:
     seen = {k: found.total() for k, found in texts.items()}
     out = []
     for root, main, pairs in zip(roots, regions, aligned, strict=True):
-        least, share = (MIN_ARTICLE_PAGES, ARTICLE_SHARE) if main is not None else (MIN_PAGES, TEMPLATE_SHARE)
-        constant = {id(q) for p, q in pairs if seen[id(p)] >= least and texts[id(p)][p.text] >= share * seen[id(p)] and seen[id(p)] >= share * len(contents) and p.text == q.text and q.tag not in INLINE and q is not main and q is not root and q.text}
-        out.append(blocks(main if main is not None else root, constant, main is not None))
+        inside, bounds = in_articles(main), {id(x) for x in (*main, root)}
+        constant = set()
+        for p, q in pairs:
+            least, share = (MIN_ARTICLE_PAGES, ARTICLE_SHARE) if id(q) in inside else (MIN_PAGES, TEMPLATE_SHARE)
+            n = seen[id(p)]
+            if n >= least and texts[id(p)][p.text] >= share * n and n >= share * len(contents) and p.text == q.text and q.tag not in INLINE and id(q) not in bounds and q.text:
+                constant.add(id(q))
+        out.append(main_text(root, main, constant))
     return out
 
 

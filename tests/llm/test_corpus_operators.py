@@ -234,6 +234,14 @@ def test_template_does_not_depend_on_the_first_page():
         assert html_extract.extract_block([first, *pages])[1:] == want
 
 
+def test_all_articles_and_the_rest_of_main_are_kept():
+    page = lambda i: f"<article><p>First {i} is longer.</p></article><div>Between</div><article><p>Second {i}.</p></article>"
+    whole = lambda i: f"<p>Out</p><main><p>Lead {i}.</p><p>Share this</p><article><p>Body {i} is by far the longest of them.</p></article><p>More {i}.</p></main><article>Last {i}</article>"
+    assert html_extract.extract_block([page(1)]) == ["First 1 is longer. Second 1."]
+    assert html_extract.extract_block([page(i) for i in range(9)]) == [f"First {i} is longer. Second {i}." for i in range(9)]
+    assert html_extract.extract_block([whole(i) for i in range(9)]) == [f"Lead {i}. Body {i} is by far the longest of them. More {i}. Last {i}" for i in range(9)]
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "v", ""), (5, "w", "é" * 50_000), (6, "x", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
