@@ -196,52 +196,6 @@ def test_nearest_neighbours(spark):
     assert ann.search(few.where("false"), F.col("vec_id") == 0).count() == 0
 
 
-def test_wrapper_induction(spark):
-    page = """<html><head><title>T{i}</title></head><body><div class="top"><ul><li><a href=/>Home</a><li>News</ul></div>
-    <div class="wrap"><h1>Title {i}</h1><p>Para {i} &amp; more.</p><p>Second <i>part</i> {i}.</p><div class="x9">Follow our channel</div></div><div>Copyright Corp</div></body></html>"""
-    rows = [(i, "http://one.example/a", page.replace("{i}", str(i)), "extra") for i in range(9)]
-    rows += [(20, "http://two.example/", "<nav>Menu</nav><article><h1>H</h1><p>a&amp;b <b>c</b>d<br>e<div class=comments>no</div></article><footer>F</footer>", ""), (21, None, None, ""), (22, "x", "", ""), (23, "y", "<div>" * 5000 + "deep", "")]
-    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, block string")).collect()}
-    assert [got[i].text for i in range(9)] == [f"Title {i} Para {i} & more. Second part {i}." for i in range(9)]
-    assert (got[20].text, got[20].n_chars) == ("H a&b cd e", 10)
-    assert [got[i].text for i in (21, 22, 23)] == ["", "", "deep"]
-
-
-def test_long_lists_align_exactly(monkeypatch):
-    rng = random.Random(5)
-    tree = lambda n: html_extract.parse("".join(rng.choice(["<p>a</p>", "<p>b</p>", "<h2>a</h2>", "<div><p>a</p><i>b</i></div>", "<div><p>b</p></div>", "<hr>"]) for _ in range(n)))
-    for _ in range(60):
-        a, b = tree(rng.randrange(1, 40)), tree(rng.randrange(1, 40))
-        found = []
-        for full, cells in ((4096, 1 << 20), (0, 1 << 20), (0, 1)):
-            monkeypatch.setattr(html_extract, "FULL_ALIGNMENT", full)
-            monkeypatch.setattr(html_extract, "CELLS", cells)
-            pairs = []
-            found.append(html_extract.match_trees(a, b, pairs))
-            top = [(p, q) for p, q in reversed(pairs) if p in a.nodes()]
-            assert all(p.label == q.label for p, q in pairs[1:]) and [a.nodes().index(p) for p, _ in top] == sorted(a.nodes().index(p) for p, _ in top)
-            assert [b.nodes().index(q) for _, q in top] == sorted(b.nodes().index(q) for _, q in top)
-        assert len(set(found)) == 1, found
-    monkeypatch.undo()
-    page = lambda i: "<main>" + "".join(f"<p>x{i} {k}</p>" for k in range(70 + i)) + "<h2>Same</h2>" + "".join(f"<p>y{i} {k}</p>" for k in range(80 + i)) + "</main>"
-    assert not any("Same" in t for t in html_extract.extract_block([page(i) for i in range(9)]))
-
-
-def test_template_does_not_depend_on_the_first_page():
-    page = lambda i: f"<html><body><div>Menu</div><div class=x><p>Para {i}.</p></div><ul><li>Notice</li></ul><section>Foot</section></body></html>"
-    pages, want = [page(i) for i in range(12)], [f"Para {i}." for i in range(12)]
-    for first in ("", "<html><body><table><tr><td>404</td></tr></table></body></html>", page(99).replace("<ul><li>Notice</li></ul>", ""), page(99).replace("Menu", "Other")):
-        assert html_extract.extract_block([first, *pages])[1:] == want
-
-
-def test_all_articles_and_the_rest_of_main_are_kept():
-    page = lambda i: f"<article><p>First {i} is longer.</p></article><div>Between</div><article><p>Second {i}.</p></article>"
-    whole = lambda i: f"<p>Out</p><main><p>Lead {i}.</p><p>Share this</p><article><p>Body {i} is by far the longest of them.</p></article><p>More {i}.</p></main><article>Last {i}</article>"
-    assert html_extract.extract_block([page(1)]) == ["First 1 is longer. Second 1."]
-    assert html_extract.extract_block([page(i) for i in range(9)]) == [f"First {i} is longer. Second {i}." for i in range(9)]
-    assert html_extract.extract_block([whole(i) for i in range(9)]) == [f"Lead {i}. Body {i} is by far the longest of them. More {i}. Last {i}" for i in range(9)]
-
-
 def test_warc_round_trip(spark):
     pages = [(1, "http://a\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "v", ""), (5, "w", "é" * 50_000), (6, "x", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
