@@ -89,13 +89,5 @@ b as (select *, ({" + ".join(f"(case when {sql} then {quality.bit(name)} else 0
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (fail_bits & {quality.Policy("base", quality.BASE).mask}) <> 0 base_failed, (fail_bits & {quality.POLICIES["v2"].mask}) = 0 kept, fail_bits from b""",
     "op8_warc_index": warc.ORACLE,
-    "op9_url_filter": rf"""
-with s as (select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest,
-    translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low from pages),
-h as (select *, translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
-    regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) path from s),
-r as (select *, (select list(host || path order by length(host || path) desc)[1] from (values {", ".join(f"('{r.host}', '{r.path}')" for r in url_filter.PATH_RULES)}) t(host, path)
-    where (h.host = t.host or ends_with(h.host, '.' || t.host)) and starts_with(h.path, t.path)) rule from h)
-select page_id, host, path, rule, case {" ".join(f"when rule = '{r.host}{r.path}' then '{r.verdict}'" for r in url_filter.PATH_RULES)}
-    {" ".join(f"when regexp_matches(low, '{r.pattern}') then '{r.verdict}'" for r in url_filter.PATTERN_RULES)} else 'allow' end verdict from r""",
+    "op9_url_filter": url_filter.oracle(),
 }

@@ -220,13 +220,56 @@ def test_url_filter(spark):
     assert {u: tuple(r)[1:] for (_, u), r in zip(rows, sorted(got), strict=True)} == cases
 
 
+def judged_by_all(filters, url):
+    """The verdict by trying every rule."""
+    low = url.translate(url_filter._LOWER)
+    fits = {f.verdict for f in url_filter.parse_list(filters) if re.search(f.regex(), low)}
+    return "allow" if "allow" in fits or not fits else "block"
+
+
 def test_url_index_equals_all_patterns():
     index, rng = url_filter.RuleIndex(), random.Random(3)
-    parts = ["casino", "888", "big", "cheap-pills", "cheap", "spam-farm", "adserver", "doubleclick.net", "login", "cart", "wp-admin", "é", "a", "-", ".", "/", "?", "#", ":", "\n"]
-    urls = ["https://bigcasino.net/", "http://888casino.net/x", *(f"{rng.choice(['http', 'x'])}://{''.join(rng.choice(parts) for _ in range(rng.randint(1, 8)))}" for _ in range(20_000))]
-    every = [(r.verdict, re.compile(r.pattern)) for r in url_filter.PATTERN_RULES]
-    assert [index.method(u) for u in urls] == [next((v for v, p in every if p.search(u)), "allow") for u in urls]
-    assert [index.method(u) for u in urls[:2]] == ["block", "block"]
+    parts = ["casino", "my", "888", "big", "cheap-pills", "cheap", "spam-farm", "adserver", "ads", "doubleclick.net", "login", "cart", "wp-admin", "help", "zip", "7z", "é", "a", "-", ".", "/", "?", "#", ":", "\n", "LOGIN"]
+    urls = ["https://bigcasino.net/", "http://888casino.net/x", "http://mycasino.com/x", *(f"{rng.choice(['http', 'x'])}://{''.join(rng.choice(parts) for _ in range(rng.randint(1, 8)))}" for _ in range(3_000))]
+    found = [index.method(u) for u in urls]
+    assert found == [judged_by_all(url_filter.FILTERS, u) for u in urls] and found[:3] == ["block"] * 3 and 100 < found.count("block") < len(urls) - 100
+    assert len(url_filter.FILTERS) > 150 and len(index.always) == len(url_filter.SPAM_WORDS)
+
+
+def test_url_index_of_random_rules_equals_all_rules():
+    rng = random.Random(9)
+    bits = ["ab", "b", "c1", "1", ".", "-", "/", "*", "^", "?", "="]
+    for _ in range(150):
+        filters = []
+        while len(filters) < rng.randint(1, 12):
+            body = "".join(rng.choice(bits) for _ in range(rng.randint(1, 6)))
+            line = rng.choice(["", "", "@@"]) + rng.choice(["", "|", "||"]) + body + rng.choice(["", "|"])
+            if not (body[0] == body[-1] == "/" and len(body) > 2):
+                filters.append(line)
+        index = url_filter.RuleIndex((), filters)
+        for _ in range(40):
+            url = "h://" + "".join(rng.choice(["ab", "b", "c1", "1", "B", ".", "-", "/", "?", "=", "_", "\n", "é"]) for _ in range(rng.randint(0, 10)))
+            assert index.method(url) == judged_by_all(filters, url), (filters, url)
+
+
+def test_filter_syntax():
+    of = url_filter.parse_filter
+    assert of("! note") is None and of("") is None and of("[Adblock Plus]") is None
+    assert (of("||a.b^").tokens, of("ab").tokens, of("-ab-").tokens, of("-ab*cd|").tokens, of("|x://ab").tokens, of(r"/ab+/").tokens) == ({"a", "b"}, set(), {"ab"}, set(), {"x"}, set())
+    assert of("@@||a.b^").verdict == "allow"
+    for line, fits, fails in (
+        ("||b.c^", ["http://b.c", "http://a.b.c/", "http://b.c:80"], ["http://ab.c/", "http://b.cd", "http://x.y/b.c/"]), (".zip|", ["http://a/b.zip"], ["http://a/b.zip\n", "http://a/b.zip/"]), ("|http://a*z", ["http://a\nz"], ["xhttp://az"]),
+    ):
+        assert all(re.search(of(line).regex(), u) for u in fits) and not any(re.search(of(line).regex(), u) for u in fails), line
+    with pytest.raises(ValueError):
+        of("||a.b^$third-party")
+
+
+def test_url_filter_long_urls_repeated_ids_and_clashing_columns(spark):
+    long = "http://a.net/" + "x/" * 100_000 + "login"
+    rows = [(1, long, "a", "b", "c"), (1, long, "a", "b", "c"), (1, "http://a.net/", "a", "b", "c"), (None, "http://mycasino.com/x", "a", "b", "c")]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string, rule string, verdict string")).collect()
+    assert sorted((r.page_id or 0, r.verdict, len(r.path)) for r in got) == [(0, "block", 2), (1, "allow", 1), (1, "block", len(long) - 12), (1, "block", len(long) - 12)]
 
 
 def test_bpe_tree(spark, monkeypatch):
