@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from erlink.llm.common import materialize, scratch_path, small
 
 SEGMENT_BYTES = 64 << 20
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 1 << 20
+#: A task reads ranges of this many bytes at most, on average; there are READERS tasks for each core of the cluster at least.
+READ_BYTES, READERS = 64 << 20, 3
 #: Ranges that are at most this far apart are read together.
 GAP_BYTES = 64 << 10
 LEVEL = 1
@@ -60,15 +62,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and the payload, after the HTTP head, of an uncompressed record."""
+def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """Header fields, HTTP header fields (names in lower case) and the payload of an uncompressed record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    if not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    body = rest[: int(fields["content-length"])]
-    return fields, body.partition(b"\r\n\r\n")[2]
+    named = lambda block: {k.lower(): v for k, _, v in (x.partition(": ") for x in block.decode().split("\r\n")[1:])}
+    fields = named(head)
+    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+    return fields, named(http), payload
 
 
 def page_number(record_id: str | None) -> int | None:
@@ -80,8 +82,9 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     """Writes a record per row of pages and returns the index, itself a table of the shared folder.
 
     A null html is an empty payload; null urls get no target. Rows that repeat the smallest id of equal payloads are
-    all responses. A null id can be a revisit, and is a response only if no equal payload has an id. Other columns
-    are not read.
+    all responses. A null id can be a revisit, and is a response only if no equal payload has an id. An empty table
+    writes no file and gives an empty index; very long payloads are one record each. Other columns are not read, so
+    they may have any name.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
@@ -134,9 +137,19 @@ def ranges(index: DataFrame) -> DataFrame:
     return numbered.groupBy("file", "range").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("members"))
 
 
-def read(index: DataFrame) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_digest, payload (null for a revisit) of the records that index names."""
-    picked = ranges(index)
+def read(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload of the records that index names.
+
+    Bytes and digest of a response are counted and computed from what is read; a revisit has no body, so its payload is
+    null and the two are those that its record states. payloads=False leaves the payload out. The ranges are dealt to
+    tasks by their bytes, in turn, since the index says nothing of the size of what it names.
+    """
+    picked = ranges(index).select("file", "start", "stop", "members")
+    held = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(READERS * index.sparkSession.sparkContext.defaultParallelism, -(-held // READ_BYTES))
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}
+    if not payloads:
+        del kinds["payload"]
 
     def run(batches):
         for batch in batches:
@@ -148,39 +161,25 @@ def read(index: DataFrame) -> DataFrame:
                 rows = []
                 for m in parts:
                     at = m["offset"] - start
-                    fields, payload = parse(zlib.decompress(block[at : at + m["length"]], 31))
-                    revisit = fields["warc-type"] == "revisit"
-                    rows.append((page_number(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], page_number(fields.get("warc-refers-to")), fields["warc-payload-digest"].removeprefix("sha1:"), None if revisit else payload))
-                columns = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload"])
-
-    return picked.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload binary")
-
-
-def base32(hexes):
-    """Base-32 text of 40 hexadecimal digits, by column functions."""
-    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-
-    def five(i):
-        v = F.conv(F.substring(hexes, i * 5 + 1, 5), 16, 10).cast("int")
-        return [F.substring(alphabet, F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
+                    fields, http, payload = parse(zlib.decompress(block[at : at + m["length"]], 31))
+                    said = fields["warc-payload-digest"].removeprefix("sha1:")
+                    known = (int(http["content-length"]), said, None) if fields["warc-type"] == "revisit" else (len(payload), digest32(payload), payload)
+                    rows.append((page_number(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], page_number(fields.get("warc-refers-to")), *known))
+                columns = list(zip(*rows, strict=True))[: len(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    return F.concat(*(c for i in range(8) for c in five(i)))
+    schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
+    return picked.repartition(tasks).mapInArrow(run, schema + (", payload binary" if payloads else ""))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Writes the archives of pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Bytes and digest are those of the payload read; a revisit's come from the response of its digest.
+    A row for every row of pages, repeated ones too; an empty table gives none. Null, very long and other values as in
+    write() and read().
     """
-    back = read(write(pages, id_col, url_col, html_col, min_bytes))
-    back = back.select("page_id", "record_type", "refers_to", F.col("payload_digest").alias("said"), F.octet_length("payload").cast("bigint").alias("n"), F.when(F.col("payload").isNotNull(), base32(F.sha1("payload"))).alias("found"))
-    back = materialize(back, "warc-read")
-    bodies = back.where("record_type = 'response'").groupBy(F.col("said").alias("_said")).agg(F.max("n").alias("_n"), F.max("found").alias("_found"))
-    revisits = back.where("record_type = 'revisit'").join(bodies, F.col("said") == F.col("_said"), "left").select("page_id", "record_type", "refers_to", F.col("_n").alias("n"), F.col("_found").alias("found"))
-    whole = back.where("record_type = 'response'").select("page_id", "record_type", "refers_to", "n", "found").unionByName(revisits)
-    return whole.select("page_id", F.col("n").alias("payload_bytes"), F.col("found").alias("payload_digest"), "record_type", "refers_to")
+    back = read(write(pages, id_col, url_col, html_col, min_bytes), payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
