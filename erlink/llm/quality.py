@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from erlink.llm.common import map_batches
@@ -106,8 +106,8 @@ def measure(text: str | None) -> tuple[int, ...]:
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, MEASURES (bigint) and fail_bits for every row of docs; the texts are read here only, without a shuffle.
 
-    A null text has no words, as an empty one: it fails few_words. Repeated rows each give a row; other columns are
-    not read.
+    A null text has no words, as an empty one: it fails few_words. Very long texts are read whole. Repeated rows and ids
+    each give a row, an empty table none; other columns are not read, so they may have any name.
     """
 
     def make():
@@ -122,9 +122,22 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumn("fail_bits", F.expr(bits))
 
 
+def fails(policy: Policy) -> Column:
+    """Whether an entry fails any rule of the policy."""
+    return F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) != 0
+
+
+def only_failed(policy: Policy) -> Column:
+    """The rule of the policy that alone an entry fails, without which it would be kept; else null."""
+    failed, found = F.col("fail_bits").bitwiseAND(F.lit(policy.mask)), F.lit(None).cast("string")
+    for r in policy.rules:
+        found = F.when(failed == bit(r), F.lit(r)).otherwise(found)
+    return found
+
+
 def apply_policy(entries: DataFrame, policy: Policy) -> DataFrame:
     """entries with policy (its version) and kept."""
-    return entries.withColumn("policy", F.lit(policy.version)).withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
+    return entries.withColumn("policy", F.lit(policy.version)).withColumn("kept", ~fails(policy))
 
 
 def ablation(entries: DataFrame, policy: Policy) -> DataFrame:

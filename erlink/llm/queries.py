@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erlink.llm import ann, bpe, html_extract, langid, mixing, ngram_join, pii, quality, url_filter, warc
-from erlink.llm.common import table
+from erlink.llm.common import materialize, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -35,9 +35,14 @@ def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["v2"])
-    base = F.col("fail_bits").bitwiseAND(F.lit(quality.Policy("base", quality.BASE).mask)) != 0
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
+    """The ledger is written once; two policies and the ablation of the second are read off its bits."""
+    entries = materialize(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+    first, policy = quality.POLICIES["v1"], quality.POLICIES["v2"]
+    alone = {r["rule"]: r["n_failed_alone"] for r in quality.ablation(entries, policy).collect()}  # a row a rule
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails(quality.Policy("base", quality.BASE)).alias("base_failed"), (~quality.fails(policy)).alias("kept"),
+        "fail_bits", (~quality.fails(first)).alias("kept_v1"), quality.only_failed(policy).alias("fails_alone"), *(F.lit(alone.get(r, 0)).cast("bigint").alias(f"n_alone_{r}") for r in policy.rules),
+    )
 
 
 def op7_pii_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +74,7 @@ QUERIES = {
     "op10_bpe_tree": op10_bpe_tree,
 }
 
+_V2 = quality.POLICIES["v2"]
 ORACLES = {
     "op2_mix_sources": mixing.oracle(),
     "op6_quality_ledger": rf"""
@@ -87,7 +93,9 @@ m as (select doc_id, len(ws)::bigint n_words,
   from w left join covered using (rid) left join lines using (rid)),
 b as (select *, ({" + ".join(f"(case when {sql} then {quality.bit(name)} else 0 end)" for name, sql in quality.RULES)})::bigint fail_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (fail_bits & {quality.Policy("base", quality.BASE).mask}) <> 0 base_failed, (fail_bits & {quality.POLICIES["v2"].mask}) = 0 kept, fail_bits from b""",
+  (fail_bits & {quality.Policy("base", quality.BASE).mask}) <> 0 base_failed, (fail_bits & {_V2.mask}) = 0 kept, fail_bits, (fail_bits & {quality.POLICIES["v1"].mask}) = 0 kept_v1,
+  case fail_bits & {_V2.mask} {" ".join(f"when {quality.bit(r)} then '{r}'" for r in _V2.rules)} end fails_alone,
+  {", ".join(f"(select count(*) from b where (fail_bits & {_V2.mask}) = {quality.bit(r)})::bigint n_alone_{r}" for r in _V2.rules)} from b""",
     "op8_warc_index": warc.ORACLE,
     "op9_url_filter": url_filter.oracle(),
 }
