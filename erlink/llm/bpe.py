@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,8 +25,8 @@ from erlink.llm.common import map_batches
 #: Characters in a leaf, and in the first window on each side of a border.
 LEAF = 2048
 WINDOW = 32
-#: Longer windows (unbroken runs) are lexed piece by piece, since the library's matcher has a bounded stack.
-LONG = 65536
+#: Pieces whose ids a task remembers.
+REMEMBERED = 1 << 16
 
 #: White space as the library's matcher defines it.
 SPACES = r"\t-\r \x85\xa0  -     　"
@@ -41,6 +42,7 @@ class TreeBpe:
 
     def __init__(self, ranks: bytes, pattern: str):
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+        self.ranks, self.known = table, {}
         self.leaf = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.bytes_of = [b""] * (max(table.values()) + 1)
         for token, rank in table.items():
@@ -49,12 +51,45 @@ class TreeBpe:
         self.names = [str(i) for i in range(len(self.bytes_of))]
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
 
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of one piece: of all neighbours those of the lowest rank are joined first, the leftmost of equal ones. n log n."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        n, rank = len(piece), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts at i; 0: none starts there
+        queue = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, i, stop = heapq.heappop(queue)
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
+                continue  # one of the two has been joined meanwhile
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := rank(piece[i : end[stop]])) is not None:
+                    heapq.heappush(queue, (r, i, end[stop]))
+            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
+                heapq.heappush(queue, (r, p, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i : end[i]]])
+            i = end[i]
+        return out
+
     def encode_window(self, text: str) -> list[int]:
-        if len(text) <= LONG:
-            return self.leaf.encode_ordinary(text)
+        """Ids of a window, piece by piece. The library's matcher has a bounded stack, and a window may be an unbroken run of any length."""
         out: list[int] = []
         for m in self.pieces.finditer(text):
-            out += self.leaf._encode_single_piece(m.group())
+            piece = m.group()
+            ids = self.known.get(piece)
+            if ids is None:
+                ids = self.merge(piece.encode())
+                if len(piece) <= WINDOW:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    self.known[piece] = ids
+            out += ids
         return out
 
     def encode(self, text: str, lo: int = 0, hi: int | None = None) -> list[int]:
@@ -118,7 +153,8 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256. The ids are decoded again for the last.
 
     Only the two named columns are read, so other columns may have any name. A null text counts as empty: 0 tokens and
-    the digest of no bytes. Repeated rows and ids each give their row; an empty table gives none.
+    the digest of no bytes. Very long texts, unbroken runs too, are encoded whole. Repeated rows and ids each give their
+    row; an empty table gives none.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file: a few MB at most
 

@@ -209,6 +209,45 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_ranges_keep_gap_and_size(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(warc, "RANGE_BYTES", 5000)
+    monkeypatch.setattr(warc, "GAP_BYTES", 300)
+    pages = spark.createDataFrame([(i, f"u{i}", "".join(rng.choice("abcdef") for _ in range(rng.randint(0, 1500))), "f", 1, 2) for i in range(120)], "page_id long, url string, html string, file string, offset int, length int").repartition(3)
+    index = warc.write(pages).where("page_id % 5 <> 0 or page_id % 3 = 0")
+    want, got = sorted((r.file, r.offset, r.length) for r in index.collect()), []
+    spans = [(r.file, r.start, r.stop, r.members) for r in warc.ranges(index).collect()]
+    for file, start, stop, members in spans:
+        at = [(m.offset, m.length) for m in members]
+        assert at == sorted(at) and start == at[0][0] and stop == max(o + n for o, n in at) and stop - start <= 5000 + max(n for _, n in at)
+        assert all(b - (a + n) <= 300 for (a, n), (b, _) in zip(at, at[1:]))
+        got += [(file, o, n) for o, n in at]
+    assert sorted(got) == want and 3 < len(spans) < len(want)
+    assert {r.page_id: bytes(r.payload).decode() for r in warc.read(index).collect()} == {r.page_id: r.html for r in pages.join(index, "page_id").select("page_id", pages["html"]).collect()}
+
+
+def test_warc_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "u", "same", "x", "y"), (1, "u", "same", "x", "y"), (2, "u", "same", "x", "y"), (None, "u", "same", "x", "y"), (None, None, "alone", "x", "y"), (7, "u", "é" * 300_000, "x", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, sha string, record_type string")
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.round_trip(df).collect()), key=str)
+    of = lambda i, kind, ref, text: (i, kind, ref, len(text.encode()), warc.digest32(text.encode()))
+    assert got == sorted([of(1, "response", None, "same"), of(1, "response", None, "same"), of(2, "revisit", 1, "same"), of(0, "revisit", 1, "same"), of(0, "response", None, "alone"), of(7, "response", None, "é" * 300_000)], key=str)
+    assert all(r.payload is None and (r.payload_bytes, r.payload_digest) == (4, warc.digest32(b"same")) for r in warc.read(warc.write(df).where("record_type = 'revisit'")).collect())
+
+
+def test_quality_query_reads_policies_off_the_ledger(spark, tmp_path):
+    from erlink.llm import queries
+
+    rows = [(1, "word " * 40, "s"), (2, None, "s"), (3, "# " * 30 + "x y z", "s"), (3, "# " * 30 + "x y z", "s"), (4, " ".join(f"w{i}" for i in range(30)), "s"), (5, " ".join(f"w{i}#" for i in range(30)), "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, kept string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_quality_ledger(spark, str(tmp_path)).collect()
+    assert len(got) == 6 and all(r.kept == (r.fail_bits == 0) and r.kept_v1 == (not r.base_failed) for r in got)
+    for rule in quality.POLICIES["v2"].rules:
+        alone = [r for r in got if r.fail_bits == quality.bit(rule)]
+        assert all(r.fails_alone == rule for r in alone) and {r[f"n_alone_{rule}"] for r in got} == {len(alone)}
+    assert {r.doc_id for r in got if r.kept} == {4} and any(r.fails_alone == "symbols" for r in got)
+
+
 def test_url_filter(spark):
     cases = {
         "http://A.ORG/x": ("a.org", "/x", "org/", "allow"), "http://a.example.org/es/1": ("a.example.org", "/es/1", "example.org/es/", "block"), "http://example.org/en/12": ("example.org", "/en/12", "example.org/en/1", "block"),
@@ -282,9 +321,20 @@ def test_bpe_tree(spark, monkeypatch):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 200)))
         assert codec.encode(s) == codec.leaf.encode_ordinary(s), repr(s)
         assert codec.decode(codec.encode(s)) == s.encode()
+    for _ in range(300):  # pieces alone, by the library and by merge()
+        piece = "".join(rng.choice("abcdeést日") for _ in range(rng.randint(1, 60)))
+        assert codec.merge(piece.encode()) == codec.leaf._encode_single_piece(piece)
     monkeypatch.setattr(bpe, "LEAF", 2048)
-    for s in ("a" * 100_000, "x" + " " * 300_000 + "y"):
-        assert codec.decode(codec.encode(s)) == s.encode()
+    for s in ("a" * 100_000, "x" + " " * 300_000 + "y", "abc" * 40_000 + " \n" + "é" * 70_000, "\n" * 70_000 + "the end", "ab1" * 30_000):
+        ids = [i for m in codec.pieces.finditer(s) for i in codec.leaf._encode_single_piece(m.group())]
+        assert codec.encode(s) == ids and codec.decode(ids) == s.encode()
+    path, rows = tokenizers.path("byte_bpe_50k.tiktoken"), [None, "", "hello there world", "x" * 5000, "x" * 5000]
+    wide = docs_of(spark, rows).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(1))
+    wide = wide.unionByName(wide)  # repeated ids
+    coded = bpe.encode(wide, path, tokenizers.PATTERN)
+    assert sorted((r.doc_id, r.ids) for r in coded.collect()) == sorted((i, codec.leaf.encode_ordinary(t or "")) for i, t in [*enumerate(rows)] * 2)
+    assert sorted((r.doc_id, bytes(r.content).decode()) for r in bpe.decode(coded, path, tokenizers.PATTERN).collect()) == sorted((i, t or "") for i, t in [*enumerate(rows)] * 2)
+    assert bpe.encode_digests(wide, path, tokenizers.PATTERN).count() == 10 and bpe.encode(wide.where("false"), path, tokenizers.PATTERN).count() == 0
     got = {r.doc_id: r for r in bpe.encode_digests(docs_of(spark, [None, "hello there world"]), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).collect()}
     assert got[0].n_tokens == 0 and got[0].ids_sha256 == got[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[1].decoded_sha256 == hashlib.sha256(b"hello there world").hexdigest()
