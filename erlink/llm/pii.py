@@ -35,24 +35,24 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A cheap test that a text can match at all.
-TRIGGER = {"email": "instr(txt, '@') > 0", "ip": r"txt rlike '[0-9]\\.[0-9]'", "card": "txt rlike '[0-9][0-9 -]{12}'", "phone": "instr(txt, '+') > 0"}
+#: A cheap test that a text can match at all; with_digit: it has a digit.
+TRIGGER = {"email": "instr(txt, '@') > 0", "ip": r"with_digit and txt rlike '[0-9]\\.[0-9]'", "card": "with_digit and txt rlike '[0-9][0-9 -]{12}'", "phone": "instr(txt, '+') > 0"}
 #: Wider generators: kind, pattern, trigger. Every match has 5 characters at least.
 WIDE = (
-    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]++)++", r"txt rlike '[\\[(]at[\\])]'"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20(?:at|AT)\x20[A-Za-z0-9-]++(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]++)++", "txt rlike ' (dot|DOT) '"),
-    ("ip", r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "txt rlike '[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:'"),
-    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\x20\.\x20?[0-9]{1,3}){3}(?![0-9.])", r"txt rlike '[0-9] \\. ?[0-9]'"),
-    ("card", r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])", "txt rlike '[0-9]{4}[0-9 -]{12}'"),
-    ("card", r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])", r"txt rlike '[0-9]{4}\\.[0-9]{4}\\.'"),
+    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]++)++", "instr(txt, '(at') > 0 or instr(txt, '[at') > 0"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20(?:at|AT)\x20[A-Za-z0-9-]++(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]++)++", "instr(txt, ' dot ') > 0 or instr(txt, ' DOT ') > 0"),
+    ("ip", r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "with_digit and txt rlike '[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:'"),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\x20\.\x20?[0-9]{1,3}){3}(?![0-9.])", r"with_digit and txt rlike '[0-9] \\. ?[0-9]'"),
+    ("card", r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])", "with_digit and txt rlike '[0-9]{4}[0-9 -]{12}'"),
+    ("card", r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])", r"with_digit and txt rlike '[0-9]{4}\\.[0-9]{4}\\.'"),
     ("phone", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", "instr(txt, '+') > 0"),
     ("phone", r"(?<![0-9+])\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", "instr(txt, '(') > 0"),
-    ("phone", r"(?<![0-9+(./-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9./-])", r"txt rlike '[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}'"),
-    ("phone", r"(?<![0-9+])00[1-9][0-9]{0,2}(?:[\x20./-][0-9]{2,5}){2,4}(?![0-9])", "txt rlike '00[1-9][0-9]{0,2}[ ./-][0-9]'"),
-    ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "txt rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'"),
-    ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "txt rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}'"),
-    ("secret", r"(?<![A-Za-z0-9_])(?:(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abp])[_-][A-Za-z0-9_-]{16,}+|(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])", "txt rlike '[A-Za-z0-9_-]{19}'"),
-    ("secret", r"(?i:password|passwd|passphrase|pwd)[\"']?\x20?[:=]\x20?[\"']?[^\s\"',;<>]{6,}+", "lower(txt) rlike '(password|passwd|passphrase|pwd)'"),
+    ("phone", r"(?<![0-9+(./-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9./-])", r"with_digit and txt rlike '[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}'"),
+    ("phone", r"(?<![0-9+])00[1-9][0-9]{0,2}(?:[\x20./-][0-9]{2,5}){2,4}(?![0-9])", "with_digit and txt rlike '00[1-9][0-9]{0,2}[ ./-][0-9]'"),
+    ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "with_digit and txt rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'"),
+    ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "with_digit and txt rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}'"),
+    ("secret", r"(?<![A-Za-z0-9_])(?:(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abp])[_-][A-Za-z0-9_-]{16,}+|(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])", "with_digit and txt rlike '[A-Za-z0-9_-]{19}'"),
+    ("secret", r"(?i:password|passwd|passphrase|pwd)[\"']?\x20?[:=]\x20?[\"']?[^\s\"',;<>]{6,}+", "txt rlike '[pP][aA][sS][sS]|[pP][wW][dD]'"),
 )
 
 #: Own lists for the gazetteer and context labelers.
@@ -141,16 +141,17 @@ def _votes(x: str) -> str:
 def with_proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs and a column _proposals: arrays of kind, s, e, base, valid and votes. Null texts count as empty."""
     rows = docs.withColumn("_txt", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    rows = rows.withColumn("_digit", F.col("_txt").rlike("[0-9]"))
     generators = [(k + 1, BASE[name], TRIGGER[name], True) for k, name in enumerate(BASE_KINDS)] + [(KINDS.index(name) + 1, pattern, trigger, False) for name, pattern, trigger in WIDE]
     found = {}
     for i, (_, pattern, trigger, _b) in enumerate(generators):
-        when = f"case when {trigger.replace('txt', '_txt')} then"
+        when = f"case when {trigger.replace('txt', '_txt').replace('with_digit', '_digit')} then"
         found[f"m{i}"] = F.expr(f"{when} regexp_extract_all(_txt, {_sql(pattern)}, 0) else cast(array() as array<string>) end")
     rows = rows.withColumns(found)
     pieces = {f"p{i}": F.expr(f"case when size(m{i}) > 0 then split(_txt, {_sql(pattern)}, -1) else array('') end") for i, (_, pattern, _t, _b) in enumerate(generators)}
     rows = rows.withColumns(pieces)
     located = [f"if(size(m{i}) = 0, cast(array() as {_SPAN}), {_located(kind, base, i)})" for i, (kind, _, _, base) in enumerate(generators)]
-    rows = rows.withColumn("_found", F.expr(f"concat({', '.join(located)})")).drop(*found, *pieces, "_txt")
+    rows = rows.withColumn("_found", F.expr(f"concat({', '.join(located)})")).drop(*found, *pieces, "_txt", "_digit")
     return rows.withColumn("_proposals", F.expr(f"transform(_found, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'base', x.base, 'valid', {_valid('x')}, 'votes', {_votes('x')}))")).drop("_found")
 
 
