@@ -7,12 +7,15 @@
 3. In a bucket, pairs compare STEP MinHash values at a time. After each step a pair is dropped if the posterior
    probability that its similarity reaches the threshold (uniform prior) is below TOLERANCE.
 4. The Jaccard similarity of the rest is computed exactly from the shingles (64-bit hashes of the words).
-Large buckets are cut in blocks and every two blocks are a group, so no task holds a bucket. Blocks return link counts
-and a forest of their links, never the pairs; connected components join the forests.
+Large buckets are cut in blocks, of about BLOCK rows and BLOCK_BYTES of shingles at most, and every two blocks are a
+group, so no task holds a bucket. Step 3 ships signatures alone and returns, for each row that has a surviving partner
+in its group, a bit for each of them; only the shingles of such rows are made and shipped for step 4. Groups return link
+counts and a forest of their links, never the pairs; connected components join the forests.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb
 
 import numpy as np
@@ -20,6 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from erlink.llm.common import map_batches, materialize, small
 
@@ -28,7 +33,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 3
 N_HASH, STEP = 96, 24
 TOLERANCE = 1e-6
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Shingles hashed at once, and words remembered by a task.
 CHUNK, VOCABULARY = 8192, 1 << 20
 
@@ -143,16 +148,25 @@ def exact_links(left: list[np.ndarray], right: list[np.ndarray], alive: np.ndarr
     return out
 
 
-def join_block(rows: list[dict], need: np.ndarray) -> list[tuple[bytes, int, bytes]]:
-    """Links of one group: rows of block bi and, if bj differs, of block bj. Returns node, links found, root of its tree."""
+def sides(rows: list[dict]) -> tuple[list[dict], list[dict]]:
+    """The rows of the group's two blocks, ordered by node; twice the same if it is a block with itself."""
     bi, bj = rows[0]["bi"], rows[0]["bj"]
+    rows = sorted(rows, key=lambda r: r["node"])
     a = [r for r in rows if r["own"] == bi]
-    b = a if bi == bj else [r for r in rows if r["own"] == bj]
-    if not a or not b or bi == bj and len(a) < 2:
+    return a, a if bi == bj else [r for r in rows if r["own"] == bj]
+
+
+def prune_group(rows: list[dict], need: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """own, node and partners of each row of a group that has a surviving partner.
+
+    partners are the bits of the other block's surviving rows, in order of their nodes.
+    """
+    a, b = sides(rows)
+    if not a or not b or a is b and len(a) < 2:
         return []
     sig = lambda xs: np.stack([np.frombuffer(x["sig"], "<u4") for x in xs])
     alive = surviving(sig(a), sig(b), need)
-    if bi == bj:
+    if a is b:
         alive = np.triu(alive, 1)
     # A pair counts in the least of the kept buckets that it shares.
     bucket = rows[0]["bucket"]
@@ -160,18 +174,30 @@ def join_block(rows: list[dict], need: np.ndarray) -> list[tuple[bytes, int, byt
     if earlier and alive.any():
         member = lambda xs: np.array([[x in s for x in earlier] for s in (set(r["buckets"]) for r in xs)], np.float32)
         alive &= (member(a) @ member(b).T) == 0
-    if not alive.any():
-        return []
+    if a is b:
+        alive |= alive.T
+    left, right = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+    bits = lambda m: [x.tobytes() for x in np.packbits(m, axis=1)]
+    out = [(a[i]["own"], a[i]["node"], x) for i, x in zip(left, bits(alive[np.ix_(left, right)]), strict=True)]
+    return out if a is b else out + [(b[j]["own"], b[j]["node"], x) for j, x in zip(right, bits(alive[np.ix_(left, right)].T), strict=True)]
+
+
+def verify_group(rows: list[dict]) -> list[tuple[bytes, int, bytes]]:
+    """Links among the surviving pairs of a group: node, links found, root of its tree."""
+    a, b = sides(rows)
+    alive = np.stack([np.unpackbits(np.frombuffer(r["partners"], np.uint8), count=len(b)).astype(bool) for r in a])
+    if a is b:
+        alive = np.triu(alive, 1)
     sets = lambda xs: [np.frombuffer(x["shingles"], np.uint64) for x in xs]
     links = exact_links(sets(a), sets(b), alive)
     if not links.any():
         return []
-    copies_a, copies_b = np.array([r["copies"] for r in a], np.int64), np.array([r["copies"] for r in b], np.int64)
-    nodes = [r["node"] for r in a] + ([] if bi == bj else [r["node"] for r in b])
+    copies = lambda xs: np.array([r["copies"] for r in xs], np.int64)
+    nodes = [r["node"] for r in a] + ([] if a is b else [r["node"] for r in b])
     count = np.zeros(len(nodes), np.int64)
-    off = 0 if bi == bj else len(a)
-    count[: len(a)] += links @ copies_b
-    count[off : off + len(b)] += links.T @ copies_a
+    off = 0 if a is b else len(a)
+    count[: len(a)] += links @ copies(b)
+    count[off : off + len(b)] += links.T @ copies(a)
     parent = list(range(len(nodes)))
 
     def root(x: int) -> int:
@@ -193,6 +219,37 @@ def join_block(rows: list[dict], need: np.ndarray) -> list[tuple[bytes, int, byt
     return [(nodes[x], int(count[x]), least[root(int(x))]) for x in np.flatnonzero(count)]
 
 
+def map_groups(dealt: DataFrame, one: Callable[[list[dict]], list[tuple]], schema: str, keep: bool) -> DataFrame:
+    """one() over the rows of each group (bucket, bi, bj). keep: its rows follow the group's key.
+
+    Ranges of the key, not its hash, go to tasks: ranges are cut by counts of rows, so that groups of many rows do not
+    meet by chance. A task holds a group at a time.
+    """
+    rows = dealt.repartitionByRange("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    fields = T._parse_datatype_string(("bucket bigint, bi int, bj int, " if keep else "") + schema)
+    kinds = to_arrow_schema(fields)
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            found = [(*key, *x) for x in one(held)] if keep else one(held)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(kinds)], kinds.names)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                k = row["bucket"], row["bi"], row["bj"]
+                if k != key:
+                    if len(held) > 1:
+                        yield done()
+                    key, held = k, []
+                held.append(row)
+        if len(held) > 1:
+            yield done()
+
+    return rows.mapInArrow(run, fields)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component of the edges (u, v); alternating large and small stars.
 
@@ -223,93 +280,82 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, rep_id for every row of docs.
+    """doc_id, class_id, n_links, rep_id, root, text_hash for every row of docs.
 
     rep_id is the smallest id with the same words; class_id the smallest id of its connected component of links;
-    n_links the number of other documents at a Jaccard similarity of 0.8 or more, copies included. Texts of under five
+    n_links the number of other documents at a Jaccard similarity of 0.8 or more, copies included; root names the
+    component (null for a text without words), text_hash the exact text. Texts of under five
     words have one shingle, of all their words. Null, empty and blank texts have none: each is a class of its own
-    without links. Repeated rows are copies of each other. An empty table gives none; other columns are not read.
+    without links. Very long texts are compared whole. Repeated rows are copies of each other, and so are rows without an
+    id; what has no id at all is null in rep_id and class_id. An empty table gives none; other columns are not read, so
+    they may have any name.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def sign():
         shingler = Shingler()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, sigs = [], []
+            nodes, sigs, sizes = [], [], []
             for text in batch.column(1):
                 node, s = shingler.shingles(text.as_py())
                 nodes.append(node)
                 sigs.append(None if node is None else signature(s).tobytes())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "node", "sig"])
+                sizes.append(len(s))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32())], ["doc_id", "text_hash", "node", "sig", "size"])
 
         return one
 
-    signed = materialize(map_batches(rows, sign, "doc_id bigint, node binary, sig binary"), "join-signatures")
-    classes = materialize(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies")), "join-classes")
+    signed = materialize(map_batches(rows, sign, "doc_id bigint, text_hash bigint, node binary, sig binary, size int"), "join-signatures")
+    classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"), F.min("size").alias("size"))
+    classes = materialize(classes, "join-classes")
 
-    # Band buckets of one row per class.
-    reps = signed.join(classes.select("node", F.col("rep_id").alias("doc_id")), ["node", "doc_id"]).select("node", "sig").dropDuplicates(["node"])
+    # Band buckets of the classes.
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
-    filed = materialize(reps.select("node", F.explode(bands).alias("bucket")), "join-bands")
-    sized = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("n > 1")
-    sized = sized.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")  # equal sets once
-    members = materialize(filed.join(sized, "bucket"), "join-members")
+    filed = materialize(classes.select("node", "size", F.explode(bands).alias("bucket")), "join-bands")
+    sized = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") * 8 / BLOCK_BYTES)).cast("int")
+    sized = sized.groupBy("n", "size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n", blocks.alias("blocks"))  # equal sets once
+    members = materialize(filed.select("node", "bucket").join(sized, "bucket"), "join-members")
     largest = members.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("top"))
     spread = members.join(largest, "node").groupBy("bucket").agg(F.min("top.bucket").alias("low"), F.max("top.bucket").alias("high"))
-    kept = spread.where("low <> high or low = bucket").select("bucket")
-    members = materialize(members.join(kept, "bucket"), "join-kept")
-    lists = members.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # BANDS at most
+    members = members.join(spread.where("low <> high or low = bucket").select("bucket"), "bucket")
+
+    # A row a class: its kept buckets, BANDS at most; then the groups of their blocks, and pruning by signatures.
+    lists = members.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"), F.collect_list(F.struct("bucket", "blocks")).alias("in"))
+    placed = lists.join(classes.select("node", "sig"), "node").select("node", "buckets", "sig", F.explode("in").alias("in")).select("node", "buckets", "sig", "in.*")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "buckets", "sig")
+    need = needed_matches()
+    alive = materialize(map_groups(dealt, lambda held: prune_group(held, need), "own int, node binary, partners binary", True), "join-survivors")
 
-    # Signatures and shingles of the candidates, from the texts.
-    wanted = materialize(lists.join(classes, "node"), "join-candidates")
-    ids = wanted.select(F.col("rep_id").alias("doc_id")).distinct()
-    texts = rows.join(small(ids, wanted.count(), 16), "doc_id", "left_semi")
+    # Shingles of the classes that have a surviving pair, from the texts.
+    wanted = materialize(alive.select("node").distinct().join(classes.select("node", "rep_id", "copies"), "node"), "join-candidates")
+    n_wanted = wanted.count()
+    ids = small(wanted.select(F.col("rep_id").alias("rep")).distinct(), n_wanted, 16)
+    texts = rows.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def shingle():
         shingler = Shingler()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [shingler.shingles(t.as_py()) for t in batch.column(1)]
-            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([signature(s).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["node", "sig", "shingles"])
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["node", "shingles"])
 
         return one
 
-    bodies = map_batches(texts, shingle, "node binary, sig binary, shingles binary").where("node is not null").dropDuplicates(["node"])
-    bodies = materialize(wanted.select("node", "buckets", "copies").join(bodies, "node"), "join-bodies")
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("own", own).join(bodies, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("other", other).select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "copies", "buckets", "sig", "shingles")
-    dealt = dealt.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    need = needed_matches()
-
-    def run(batches):
-        key, held = None, []
-
-        def done():
-            found = join_block(held, need)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], ["node", "links", "root"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                k = row["bucket"], row["bi"], row["bj"]
-                if k != key:
-                    if len(held) > 1:
-                        yield done()
-                    key, held = k, []
-                held.append(row)
-        if len(held) > 1:
-            yield done()
+    bodies = map_batches(texts, shingle, "node binary, shingles binary").where("node is not null")
+    bodies = materialize(bodies.join(small(wanted.select("node", "copies"), n_wanted, 64), "node").dropDuplicates(["node"]), "join-bodies")
+    found = map_groups(alive.join(bodies, "node"), verify_group, "node binary, links bigint, root binary", False)
+    found = materialize(found, "join-links")
 
-    found = materialize(dealt.mapInArrow(run, "node binary, links bigint, root binary"), "join-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    tied = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tied = classes.select("node", "rep_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tied = materialize(tied, "join-tied")
     heads = tied.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    by_node = tied.join(heads, "root").select("node", "class_id", "rep_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = signed.where("node is not null").select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "n_links", "rep_id")
-    return full.unionByName(signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("rep_id")))
+    by_node = tied.join(heads, "root").select("node", "class_id", "rep_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "root")
+    full = signed.where("node is not null").select("doc_id", "text_hash", "node").join(by_node, "node")
+    alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("rep_id"), F.lit(None).cast("binary").alias("root"), "text_hash")
+    return full.select(*alone.columns).unionByName(alone)

@@ -13,7 +13,7 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("root", "text_hash")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,22 @@ def test_ngram_join_equals_brute_force(spark, texts, monkeypatch):
         assert (got[i].n_links, got[i].class_id) == (len(links[i]), min(seen)), texts[i]
 
 
+def test_ngram_join_of_rows_without_or_with_equal_ids(spark, texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)  # blocks by bytes
+    base = texts[6]
+    other = base.rsplit(" ", 1)[0] + " end"
+    rows = [(None, base, "a"), (None, base, "b"), (5, other, "c"), (5, "quite another text of seven words here", "d"), (7, "quite another text of seven words here", "e"), (9, "alone and by itself", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(((str(r.doc_id), r.class_id, r.n_links, r.rep_id) for r in ngram_join.join(df).collect()), key=str)
+    assert got == sorted([("None", 5, 2, None), ("None", 5, 2, None), ("5", 5, 2, 5), ("5", 5, 1, 5), ("7", 5, 1, 5), ("9", 9, 0, 9)], key=str)
+
+    import corpus_pipeline
+
+    docs = df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    left = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("None", base), ("None", base), ("5", other), ("5", "quite another text of seven words here"), ("9", "alone and by itself")])
+
+
 def test_bayes_bound():
     need = ngram_join.needed_matches()
     assert need[96] < 0.8 * 96 and list(need[1:]) == sorted(need[1:]) and need[24] > 0
