@@ -31,13 +31,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links of the n-gram join connect: the one with the smallest id.
 
-    Of rows that repeat that id, one stays: the least by its other columns. Rows without an id cannot be named as
-    copies; they stay.
+    Of different texts of a group with that id, and of rows that repeat id and text, one stays: the least. A text without
+    words is a group of its own. Rows without an id cannot be named as copies; they stay.
     """
     plain, names = neutral(docs)
     key, rest = names["doc_id"], [c for c in plain.columns if c != names["doc_id"]]
-    kept = ngram_join.join(docs).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
-    once = plain.join(kept, key, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*")
+    found = ngram_join.join(docs).where("doc_id is not null").select("doc_id", "text_hash", F.coalesce("root", F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("root"))
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select(F.col("least.doc_id").alias(key), F.col("least.text_hash").alias("h")).distinct()
+    marked = plain.withColumn("h", F.xxhash64(F.col(names["text"]).cast("string")))
+    once = marked.join(kept, [key, "h"], "left_semi").groupBy(key, "h").agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*")
     return once.select(*plain.columns).unionByName(plain.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
