@@ -1,10 +1,13 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a sample of at most SAMPLE rows (by a hash of the id); every row is filed in a leaf. A query walks
-the tree with a priority queue, nearest centroid first, and visits leaves in that order. How many it visits is
-calibrated: for CALIBRATION queries the true neighbours are found by brute force over all rows, and visits widen until
-RECALL of them lie in visited leaves. Leaves and their queries then meet in blocks of bounded size, so a leaf that holds
-a third of all rows is many tasks; scores are inner products of the original vectors in double precision.
+The tree is fitted on a sample of about SAMPLE rows (by a hash of the id) and has leaves for LEAF_ROWS rows each, as far
+as the sample has LEAF_SAMPLE of them for each leaf; every row is filed in a leaf. A query walks the tree with a priority
+queue, nearest centroid first, and visits leaves in that order. How many it visits is calibrated: for CALIBRATION queries
+the true neighbours are found by brute force over all rows, and visits widen until RECALL of them lie in visited leaves.
+
+Neighbouring leaves make a bin of about INDEX_BLOCK rows, the unit that is shipped: a query goes once to each bin it visits,
+with the leaves it visits there, and is compared with those leaves' rows alone. A bin that holds more rows, or that more
+queries visit, is many blocks. Scores are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -21,31 +24,37 @@ from erlink.llm.common import map_batches, materialize
 SAMPLE = 20_000
 CALIBRATION = 200
 RECALL = 0.96
-BRANCH, DEPTH = 8, 2
-INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
+LEAF_ROWS, LEAF_SAMPLE = 64, 8
+BRANCH = 16
+INDEX_BLOCK, QUERY_BLOCK = 4096, 4096
+#: Queries compared at once with a leaf.
+TILE = 1024
 
 
 class KMeansTree:
-    """Nodes hold centroids; leaves are numbered in order. A node with few rows is a leaf at once."""
+    """Nodes hold centroids; leaves are numbered in order, so that those of one branch are neighbours. rows: what a leaf should hold of x."""
 
-    def __init__(self, x: np.ndarray, branch: int = BRANCH, depth: int = DEPTH, seed: int = 7):
+    def __init__(self, x: np.ndarray, rows: int = LEAF_SAMPLE, branch: int = BRANCH, seed: int = 7):
         self.children: list[list[int]] = [[]]
-        self.centres: list[np.ndarray] = [x.mean(0)]
+        centres: list[np.ndarray] = [x.mean(0)]
         self.leaf_of: dict[int, int] = {}
-        self._grow(0, x, branch, depth, np.random.default_rng(seed))
+        rng, todo = np.random.default_rng(seed), [(0, x)]
+        while todo:
+            node, held = todo.pop()
+            n = min(branch, -(-len(held) // rows))
+            parts = self._split(held, n, rng) if n > 1 else []
+            if len(parts) < 2:
+                self.leaf_of[node] = len(self.leaf_of)
+                continue
+            for part in parts:
+                self.children[node].append(len(centres))
+                self.children.append([])
+                centres.append(part.mean(0))
+            todo += [(child, part) for child, part in zip(reversed(self.children[node]), reversed(parts), strict=True)]
+        self.centres = np.stack(centres)
         self.n_leaves = len(self.leaf_of)
-
-    def _grow(self, node: int, x: np.ndarray, branch: int, depth: int, rng) -> None:
-        parts = self._split(x, branch, rng) if depth and len(x) >= 2 * branch else []
-        if len(parts) < 2:
-            self.leaf_of[node] = len(self.leaf_of)
-            return
-        for part in parts:
-            child = len(self.children)
-            self.children[node].append(child)
-            self.children.append([])
-            self.centres.append(part.mean(0))
-            self._grow(child, part, branch, depth - 1, rng)
+        self.leaf_nodes = np.array(sorted(self.leaf_of, key=self.leaf_of.get))
+        self._settle(x)
 
     @staticmethod
     def _split(x: np.ndarray, branch: int, rng, steps: int = 12) -> list[np.ndarray]:
@@ -56,28 +65,42 @@ class KMeansTree:
         near = ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
         return [x[near == k] for k in range(len(centres)) if (near == k).any()]
 
+    def _settle(self, x: np.ndarray, steps: int = 6) -> None:
+        """Moves the leaves' centroids to the rows that are nearest to them among all leaves, and sets those of inner nodes and their radii."""
+        for _ in range(steps):
+            leaf = self.file(x)
+            count = np.bincount(leaf, minlength=self.n_leaves)
+            sums = np.zeros((self.n_leaves, x.shape[1]))
+            np.add.at(sums, leaf, x)
+            held = count > 0
+            self.centres[self.leaf_nodes[held]] = sums[held] / count[held, None]
+        self.radius = np.zeros(len(self.centres))
+        below: dict[int, list[int]] = {}
+        for node in reversed(range(len(self.centres))):  # children have greater numbers
+            below[node] = [node] if node in self.leaf_of else [leaf for child in self.children[node] for leaf in below[child]]
+            if node not in self.leaf_of:
+                self.centres[node] = self.centres[below[node]].mean(0)
+                self.radius[node] = np.sqrt(((self.centres[below[node]] - self.centres[node]) ** 2).sum(1).max())
+
     def file(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row: the nearest centroid, level by level."""
-        out, todo = np.zeros(len(x), np.int32), [(0, np.arange(len(x)))]
-        while todo:
-            node, rows = todo.pop()
-            if node in self.leaf_of:
-                out[rows] = self.leaf_of[node]
-            elif len(rows):
-                c = np.stack([self.centres[k] for k in self.children[node]])
-                near = ((c**2).sum(1) - 2 * (x[rows] @ c.T)).argmin(1)
-                todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node])]
-        return out
-
-    def visits(self, q: np.ndarray):
-        """Leaves, best bin first: a queue of nodes by the inner product of their centroid."""
+        """The leaf of each row: the nearest centroid."""
+        c = self.centres[self.leaf_nodes]
+        half = (c**2).sum(1) / 2
+        return np.concatenate([(half - x[lo : lo + TILE] @ c.T).argmin(1) for lo in range(0, len(x), TILE)]).astype(np.int32)
+
+    def queues(self, q: np.ndarray) -> list[list[float]]:
+        """Of each query and node, the greatest inner product of the query with a leaf's centroid below the node, at most."""
+        return (q @ self.centres.T + np.sqrt((q**2).sum(1))[:, None] * self.radius).tolist()
+
+    def visits(self, near: list[float]):
+        """Leaves, best bin first: a queue of nodes by near, their row of queues()."""
         queue = [(0.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
             if node in self.leaf_of:
                 yield self.leaf_of[node]
             for child in self.children[node]:
-                heapq.heappush(queue, (-float(self.centres[child] @ q), child))
+                heapq.heappush(queue, (-near[child], child))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -109,12 +132,48 @@ def top_pairs(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
     return qi[keep], order[xi[keep]], score[keep]
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = RECALL, branch: int = BRANCH, depth: int = DEPTH) -> DataFrame:
+def top_in_leaves(q: np.ndarray, q_ids: np.ndarray, leaves: list[list[int]], x: np.ndarray, x_ids: np.ndarray, leaf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As top_pairs, but each query sees the rows of its own leaves only."""
+    at = np.repeat(np.arange(len(q)), [len(v) for v in leaves])
+    wanted = np.concatenate([np.asarray(v, np.int64) for v in leaves])
+    order = np.argsort(wanted, kind="stable")
+    at, wanted = at[order], wanted[order]
+    found = []
+    for one in np.unique(leaf):
+        rows = np.flatnonzero(leaf == one)
+        lo, hi = np.searchsorted(wanted, (one, one + 1))
+        for t in range(lo, hi, TILE):
+            mine = at[t : min(t + TILE, hi)]
+            qi, xi, score = top_pairs(q[mine], q_ids[mine], x[rows], x_ids[rows], k)
+            found.append((mine[qi], rows[xi], score))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    qi, xi, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    best = np.lexsort((x_ids[xi], -score, qi))
+    qi, xi, score = qi[best], xi[best], score[best]
+    keep = np.arange(len(qi)) - np.searchsorted(qi, np.arange(len(q)))[qi] < k
+    return qi[keep], xi[keep], score[keep]
+
+
+def bins_of(sizes: np.ndarray, block: int) -> np.ndarray:
+    """The bin of each leaf: neighbours share one while their rows fit in a block."""
+    out, held, at = np.zeros(len(sizes), np.int32), 0, 0
+    for leaf, n in enumerate(sizes):
+        if held and held + n > block:
+            at, held = at + 1, 0
+        out[leaf] = at
+        held += int(n)
+    return out
+
+
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = RECALL, leaf_rows: int = LEAF_ROWS, branch: int = BRANCH, report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row, among all other rows.
 
     Null and zero vectors, and such with a null or non-finite component or of another length than most (of two equally
     common lengths, the longer), take no part. Rows that share the query's id count as its own; a repeated query row
-    counts once; repeated candidates each count. Queries see all candidates if there are fewer than k.
+    counts once; repeated candidates each count. Queries see all candidates if there are fewer than k. An empty table, or
+    one without a query, gives no rows. Other columns are not read, so they may have any name. report, if given, takes
+    the numbers of rows, leaves and visits and the share of all rows in the visited leaves.
     """
     spark = vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -126,13 +185,14 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     dim, n = lengths[0]["dim"], lengths[0]["count"]
     rows = rows.where(F.size("v") == dim)
 
-    whole = 1_000_000
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(whole)) < max(1, whole * SAMPLE // max(n, SAMPLE))).select("vec_id", "v").toArrow()
+    whole, h = 1_000_000, F.xxhash64("vec_id", F.lit(1))
+    sample = rows.where(F.pmod(h, F.lit(whole)) < max(1, whole * SAMPLE // max(n, SAMPLE))).select("vec_id", "v").toArrow()
     if not sample.num_rows:
-        sample = rows.select("vec_id", "v").limit(SAMPLE).toArrow()
-    order = np.argsort(sample.column(0).to_numpy(), kind="stable")
-    tree = KMeansTree(np.array(sample.column(1).to_pylist(), float)[order], branch, depth)
-    shared = spark.sparkContext.broadcast(tree)  # branch ** depth centroids
+        sample = rows.select("vec_id", "v").orderBy(h, "vec_id").limit(LEAF_SAMPLE).toArrow()
+    x = np.array(sample.column(1).to_pylist(), float)
+    x = x[np.lexsort((*x.T[::-1], sample.column(0).to_numpy()))]  # reruns agree
+    tree = KMeansTree(x, max(LEAF_SAMPLE, -(-leaf_rows * len(x) // n)), branch)
+    shared = spark.sparkContext.broadcast(tree)  # SAMPLE / LEAF_SAMPLE leaves at most
 
     def file_rows():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -142,11 +202,14 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         return one
 
     index = materialize(map_batches(rows, file_rows, "vec_id bigint, is_query boolean, leaf int, v binary"), "ann-index")
-    sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # a row a leaf
+    sizes = np.zeros(tree.n_leaves, np.int64)
+    for r in index.groupBy("leaf").count().collect():  # a row a leaf
+        sizes[r["leaf"]] = r["count"]
+    bins = bins_of(sizes, INDEX_BLOCK)
     queries = index.where("is_query").select(F.col("vec_id").alias("query_id"), "v").distinct()
 
     # Calibration: where do the true neighbours of some queries lie?
-    some = queries.orderBy(F.xxhash64("query_id", F.lit(2)), "query_id").limit(CALIBRATION).toArrow()
+    some = queries.orderBy(F.xxhash64("query_id", F.lit(2)), "query_id", "v").limit(CALIBRATION).toArrow()
     if not some.num_rows:
         return spark.createDataFrame([], schema)
     probe, probe_ids = _matrix(some.column(1)), some.column(0).to_numpy()
@@ -161,51 +224,58 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     truth = index.select("vec_id", "leaf", "v").mapInArrow(exact, "q bigint, vec_id bigint, leaf int, score double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", "leaf").toArrow()
-    place = np.empty((len(probe), tree.n_leaves), np.int32)
-    for i, q in enumerate(probe):
-        place[i, list(tree.visits(q))] = np.arange(tree.n_leaves)
-    needed = np.sort(place[truth.column(0).to_numpy(), truth.column(1).to_numpy()]) if truth.num_rows else np.zeros(1, np.int32)
+    place, passed = np.empty((2, len(probe), tree.n_leaves), np.int64)
+    for i, near in enumerate(tree.queues(probe)):
+        order = list(tree.visits(near))
+        place[i, order] = np.arange(tree.n_leaves)
+        passed[i] = np.cumsum(sizes[order])
+    needed = np.sort(place[truth.column(0).to_numpy(), truth.column(1).to_numpy()]) if truth.num_rows else np.zeros(1, np.int64)
     n_visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    if report is not None:
+        report |= {"rows": n, "leaves": tree.n_leaves, "bins": int(bins[-1]) + 1, "visits": n_visits, "scanned": float(passed[:, n_visits - 1].mean() / n)}
 
     def walk():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at, leaves = [], []
-            for i, q in enumerate(_matrix(batch.column(1))):
-                seen = 0
-                for j, leaf in enumerate(shared.value.visits(q)):
+            tree, at, bin_, leaves = shared.value, [], [], []
+            for i, near in enumerate(tree.queues(_matrix(batch.column(1)))):
+                seen, mine = 0, {}
+                for j, leaf in enumerate(tree.visits(near)):
                     if j >= n_visits and seen > k:
                         break
-                    seen += sizes.get(leaf, 0)
-                    at.append(i)
-                    leaves.append(leaf)
+                    seen += sizes[leaf]
+                    mine.setdefault(int(bins[leaf]), []).append(leaf)
+                at += [i] * len(mine)
+                bin_ += mine
+                leaves += mine.values()
             at = pa.array(at, pa.int32())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(leaves, pa.int32())], ["query_id", "v", "leaf"])
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(bin_, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "v", "bin", "leaves"])
 
         return one
 
-    walked = materialize(map_batches(queries, walk, "query_id bigint, v binary, leaf int"), "ann-walks")
-    loads = {r["leaf"]: r["count"] for r in walked.groupBy("leaf").count().collect()}
+    walked = materialize(map_batches(queries, walk, "query_id bigint, v binary, bin int, leaves array<int>"), "ann-walks")
+    loads = {r["bin"]: r["count"] for r in walked.groupBy("bin").count().collect()}  # a row a bin
 
     def blocks(counts: dict[int, int], block: int) -> Column:
         case = F.lit(1)
-        for leaf, c in sorted(counts.items()):
+        for at, c in sorted(counts.items()):
             if c > block:
-                case = F.when(F.col("leaf") == leaf, -(-c // block)).otherwise(case)
+                case = F.when(F.col("bin") == at, -(-c // block)).otherwise(case)
         return case
 
-    n_index, n_query = blocks(sizes, INDEX_BLOCK), blocks(loads, QUERY_BLOCK)
+    n_index, n_query = blocks(dict(enumerate(np.bincount(bins, sizes).astype(int).tolist())), INDEX_BLOCK), blocks(loads, QUERY_BLOCK)
     own_index, own_query = F.pmod(F.xxhash64("vec_id", F.lit(3)), n_index).cast("int"), F.pmod(F.xxhash64("query_id", F.lit(3)), n_query).cast("int")
-    left = walked.select("query_id", "v", "leaf", own_query.alias("qb"), F.explode(F.sequence(F.lit(0), n_index - 1)).alias("ib"))
-    right = index.select("vec_id", "v", "leaf", own_index.alias("ib"), F.explode(F.sequence(F.lit(0), n_query - 1)).alias("qb"))
+    left = walked.select("query_id", F.xxhash64("v").alias("q"), "v", "leaves", "bin", own_query.alias("qb"), F.explode(F.sequence(F.lit(0), n_index - 1)).alias("ib"))
+    binned = index.withColumn("bin", F.get(F.array(*map(F.lit, bins.tolist())), F.col("leaf")))
+    right = binned.select("vec_id", "v", "leaf", "bin", own_index.alias("ib"), F.explode(F.sequence(F.lit(0), n_query - 1)).alias("qb"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "v": pa.array([], pa.binary()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qi, xi, score = top_pairs(_matrix(a.column("v")), a.column("query_id").to_numpy(), _matrix(b.column("v")), b.column("vec_id").to_numpy(), k)
-        return pa.table({"query_id": a.column("query_id").take(pa.array(qi)), "v": a.column("v").take(pa.array(qi)), "vec_id": b.column("vec_id").take(pa.array(xi)), "score": pa.array(score)})
+            return pa.table({"query_id": pa.array([], pa.int64()), "q": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        qi, xi, score = top_in_leaves(_matrix(a.column("v")), a.column("query_id").to_numpy(), a.column("leaves").to_pylist(), _matrix(b.column("v")), b.column("vec_id").to_numpy(), b.column("leaf").to_numpy(), k)
+        qi, xi = pa.array(qi), pa.array(xi)
+        return pa.table({"query_id": a.column("query_id").take(qi), "q": a.column("q").take(qi), "vec_id": b.column("vec_id").take(xi), "score": pa.array(score)})
 
-    key = ["leaf", "ib", "qb"]
-    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id bigint, v binary, vec_id bigint, score double")
-    met = met.select("query_id", F.xxhash64("v").alias("q"), "vec_id", "score")
+    key = ["bin", "ib", "qb"]
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id bigint, q bigint, vec_id bigint, score double")
     nearest = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

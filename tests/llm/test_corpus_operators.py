@@ -212,6 +212,42 @@ def test_nearest_neighbours(spark):
     assert ann.search(few.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_tree_visits_leaves_by_their_centroids():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 12))
+    tree = ann.KMeansTree(x)
+    assert 200 < tree.n_leaves <= len(x) / 4 and set(tree.file(x)) <= set(range(tree.n_leaves))
+    q = rng.normal(size=(20, 12))
+    near = q @ tree.centres[tree.leaf_nodes].T
+    for i, row in enumerate(tree.queues(q)):
+        order = list(tree.visits(row))
+        assert sorted(order) == list(range(tree.n_leaves)) and all(near[i, a] >= near[i, b] - 1e-9 for a, b in zip(order, order[1:]))
+    assert list(ann.bins_of(np.array([3, 3, 5, 9, 1, 1]), 6)) == [0, 0, 1, 2, 3, 3]
+
+
+def test_clustered_vectors_take_few_visits(spark, monkeypatch):
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 500)  # many bins, and bins of several blocks
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 24))
+    rows = [(i, v, "a", "b", 1, 2) for i, v in enumerate(x.tolist())]
+    rows += rows[20:21]  # a query row again: it counts once, and is its own
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string, rank string, score int, v int").repartition(5)
+    report, got = {}, collections.defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, report=report).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert report["scanned"] < 0.2 and report["leaves"] > 50 and report["bins"] > 5 and set(got) == set(range(0, 6000, 20))
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21)) and q not in {f[1] for f in found} and len({f[1] for f in found}) == 20
+        s = x @ x[q]
+        assert np.allclose([f[2] for f in found], s[[f[1] for f in found]])
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & {f[1] for f in found})
+    assert hits >= 0.9 * 20 * len(got)
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "v", ""), (5, "w", "é" * 50_000), (6, "x", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
