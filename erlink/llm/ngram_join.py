@@ -350,12 +350,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = map_groups(alive.join(bodies, "node"), verify_group, "node binary, links bigint, root binary", False)
     found = materialize(found, "join-links")
 
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    tied = classes.select("node", "rep_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tied = materialize(tied, "join-tied")
-    heads = tied.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    by_node = tied.join(heads, "root").select("node", "class_id", "rep_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "root")
+    # A node's least root stands for it; only the roots, of which a group has few, are joined to components.
+    linked = materialize(found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root")), "join-linked")
+    edges = found.select("node", F.col("root").alias("u")).join(linked.select("node", F.col("root").alias("v")), "node").select("u", "v").distinct()
+    whole = materialize(components(edges).select(F.col("node").alias("root"), F.col("root").alias("top")), "join-components")
+    linked = linked.join(small(whole, whole.count(), 64), "root", "left").select("node", "links", F.coalesce("top", "root").alias("root"))
+    tied = materialize(classes.select("node", "rep_id", "copies").join(linked, "node", "left"), "join-tied")
+    heads = materialize(tied.where("root is not null").groupBy("root").agg(F.min("rep_id").alias("head")), "join-heads")
+    tied = tied.join(small(heads, heads.count(), 64), "root", "left")
+    alone_id = F.when(F.col("root").isNull(), F.col("rep_id")).otherwise(F.col("head"))
+    by_node = tied.select("node", alone_id.alias("class_id"), "rep_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     full = signed.where("node is not null").select("doc_id", "text_hash", "node").join(by_node, "node")
     alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("rep_id"), F.lit(None).cast("binary").alias("root"), "text_hash")
     return full.select(*alone.columns).unionByName(alone)
