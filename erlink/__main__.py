@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_parquet(pairs, args.out)
         return
     truth = readers.truth_edges(readers.read_tsv(spark, args.truth, readers.TRUTH))
-    rows = features.all_features(blocking.hydrate(pairs, s1, pool, (*features.RECORD_COLUMNS, *features.NUMBER_COLUMNS)))
+    rows = features.all_features(blocking.hydrate(pairs, s1, pool, (*features.RECORD_COLUMNS, *features.TOKEN_COLUMNS, *features.NUMBER_COLUMNS)))
     rows = blocking.with_labels(rows, truth)
     names = [f for f in (*features.BASE_FEATURES, *features.NUMBER_FEATURES) if f in rows.columns and f != "country_equal"]
     scored = model.scored(rows, model.fit(rows, names)).withColumn("num_ok", numbers_ok(rows))

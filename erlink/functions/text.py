@@ -46,7 +46,9 @@ def _ascii(ch: str) -> str:
         return str(unicodedata.digit(ch, ""))
     for mark in ("LETTER", "SIGN", "SYLLABLE"):
         if mark in words and words[-1] != mark:
-            return words[-1].lower() if "CAPITAL" not in words else words[-1].capitalize()
+            read = " ".join(words[words.index(mark) + 1 :]).split(" WITH ")[0].split()[-1]  # O WITH STROKE is read O
+            read = "SS" if name.endswith("LETTER SHARP S") else read
+            return read.capitalize() if "CAPITAL" in words else read.lower()
     return ""
 
 
@@ -76,11 +78,11 @@ def transliterate(s: pd.Series) -> pd.Series:
 def clean(text: Column, with_nfkc: bool = False) -> Column:
     """Lower case, & as "and", what is no letter, digit, mark or underscore as a space, spaces folded. Null gives "".
 
-    Without with_nfkc the expression stays in the JVM; NFKC changes nothing in ASCII and precomposed Latin-1 text.
+    with_nfkc applies NFKC first. It changes nothing in ASCII, so only texts with another character go through Python.
     """
     x = F.coalesce(text, F.lit(""))
     if with_nfkc:
-        x = nfkc(x)
+        x = F.coalesce(nfkc(F.when(x.rlike("[^\\x00-\\x7F]"), x)), x)
     x = F.regexp_replace(F.lower(x), "&", " and ")
     x = F.regexp_replace(x, r"(?U)[^\p{L}\p{N}_\p{M}\s]", " ")
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -107,13 +109,17 @@ def postal_run(address: Column) -> Column:
     return F.when(F.size(runs) > 0, F.element_at(runs, -1)).otherwise(F.lit(""))
 
 
+def is_digits(token: Column) -> Column:
+    return token.rlike(r"^\p{Nd}+$")
+
+
 def digit_tokens(text: Column) -> Column:
-    return F.filter(tokens(text), lambda t: t.rlike(r"^\p{Nd}+$"))
+    return F.filter(tokens(text), is_digits)
 
 
 def street_number(address_norm: Column) -> Column:
     """The first token that is all digits; zeros in front stay."""
-    return F.coalesce(F.get(F.filter(F.split(F.coalesce(address_norm, F.lit("")), " "), lambda t: t.rlike(r"^\p{Nd}+$")), F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.split(F.coalesce(address_norm, F.lit("")), " "), is_digits), F.lit(0)), F.lit(""))
 
 
 def char_ngrams(text: Column, n: int) -> Column:

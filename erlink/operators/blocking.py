@@ -5,7 +5,7 @@ Document frequencies prune tokens before anything is joined; the pool is never i
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,11 +73,17 @@ class Channel:
     min_overlap: int = 1
     ngram: int = 0
 
-    def pairs(self, s1: DataFrame, pool: DataFrame) -> DataFrame:
+    def tokens(self, columns: Collection[str]) -> Column:
+        """The channel's tokens of a record: its words (from <column>_tokens where that is there), its n-grams, or the one exact key."""
         if self.kind == "exact":
-            return exact_join(s1, pool, self.column, self.max_df)
-        tokens = column_ngrams(self.column, self.ngram) if self.ngram else column_tokens(self.column)
-        return token_join(s1, pool, tokens, self.max_df, self.k, self.min_overlap).select("s1_id", "cand_id")
+            return F.array(F.col(self.column))
+        if self.ngram:
+            return X.char_ngrams(F.col(self.column), self.ngram)
+        ready = f"{self.column}_tokens"
+        return F.col(ready) if ready in columns else X.tokens(F.col(self.column))
+
+    def pairs(self, s1: DataFrame, pool: DataFrame) -> DataFrame:
+        return candidates(s1, pool, (self,)).select("s1_id", "cand_id")
 
 
 _EXACT = (Channel("b1", "name_norm"), Channel("b2", "name_no_suffix"))
@@ -88,23 +94,63 @@ def _config(b3: tuple[int, int], b5: tuple[int, int], *more: Channel) -> tuple[C
     return (*_EXACT, Channel("b3", "name_norm", "token", *b3), Channel("b5", "address_norm", "token", *b5), _POSTAL, *more)
 
 
-#: Named sets of channels: (max_df, K) of the name and address token channels, and what comes on top.
+_STREET = Channel("b7b", "street_number", "exact", 5000)
+
+#: Named sets of channels: (max_df, K) of the name and address token channels, and what comes on top. Fixed values.
 CONFIGS = {
-    "D1": _config((500, 6), (500, 8)),
-    "D2": _config((500, 4), (500, 6)),
+    "A": _config((500, 4), (500, 4)),
+    "B": _config((1000, 4), (1000, 6), _STREET),
+    "C": _config((3000, 4), (3000, 6), _STREET, Channel("b8", "name_norm", "token", 500, 12, 1, 4)),
+    "D1": _config((500, 4), (1000, 6)),
+    "D2": _config((1000, 4), (500, 4)),
     "D3": _config((500, 4), (2000, 6)),
-    "D4": _config((500, 2), (2000, 2)),
-    "C": _config((3000, 4), (3000, 6), Channel("b7b", "street_number", "exact", 5000), Channel("b8", "name_norm", "token", 500, 12, 1, 4)),
+    "D4": _config((2000, 4), (500, 4)),
 }
 
 
+def channel_postings(records: DataFrame, channels: tuple[Channel, ...], id_name: str) -> DataFrame:
+    """(channel, country, token, id): each token of a record once for each channel. One scan for all channels."""
+    each = F.array(*(F.struct(F.lit(i).alias("channel"), c.tokens(records.columns).alias("tokens")) for i, c in enumerate(channels)))
+    rows = records.select("country", F.col("entity_id").alias(id_name), F.explode(each).alias("_c")).select("country", id_name, "_c.channel", F.explode("_c.tokens").alias("token"))
+    return rows.where("token <> ''")
+
+
+def channel_hits(s1: DataFrame, pool: DataFrame, channels: tuple[Channel, ...]) -> DataFrame:
+    """(s1_id, cand_id, channel), a row for each shared token: one count of frequencies, one ranking and one join for all channels.
+
+    An exact key is a token of its channel without a rank. Of a token channel count the k rarest tokens of each S1 among
+    those of at most max_df records; equal frequencies by token.
+    """
+    have, asked = channel_postings(pool, channels, "cand_id"), channel_postings(s1, channels, "s1_id")
+    of = lambda value: F.element_at(F.array(*(F.lit(value(c)) for c in channels)), F.col("channel") + 1)
+    limit, k = of(lambda c: c.max_df or -1), of(lambda c: c.k)
+    ranked = [i for i, c in enumerate(channels) if c.kind == "token"]
+    capped = [i for i, c in enumerate(channels) if c.max_df]
+    keys = ["channel", "country", "token"]
+    df = have.where(F.col("channel").isin(capped)).groupBy(*keys).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= limit)
+    wanted = asked.where(F.col("channel").isin(capped)).join(df, keys)
+    order = Window.partitionBy("channel", "s1_id").orderBy("df", "token")
+    rare = wanted.where(F.col("channel").isin(ranked)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) if ranked else None
+    parts = [asked.where(~F.col("channel").isin(capped)), wanted.where(~F.col("channel").isin(ranked))]
+    probe = parts[0].select(*keys, "s1_id").unionByName(parts[1].select(*keys, "s1_id"))
+    probe = probe.unionByName(rare.select(*keys, "s1_id")) if rare is not None else probe
+    return probe.join(have, keys).select("s1_id", "cand_id", "channel")
+
+
 def candidates(s1: DataFrame, pool: DataFrame, channels: tuple[Channel, ...]) -> DataFrame:
-    """Union of the channels' pairs, once each, with a from_ flag (0 or 1) for every channel."""
-    flagged = None
-    for c in channels:
-        rows = c.pairs(s1, pool).distinct().select("s1_id", "cand_id", *(F.lit(int(d is c)).alias(f"from_{d.name}") for d in channels))
-        flagged = rows if flagged is None else flagged.unionByName(rows)
-    return flagged.groupBy("s1_id", "cand_id").agg(*(F.max(f"from_{c.name}").alias(f"from_{c.name}") for c in channels))
+    """Union of the channels' pairs, once each, with a from_ flag (0 or 1) for every channel.
+
+    The flags travel as the bits of one number. Hot keys: an exact channel without max_df and a token of up to max_df
+    records are joined by the key alone; adaptive execution splits such partitions.
+    """
+    hits = channel_hits(s1, pool, channels)
+    often = [i for i, c in enumerate(channels) if c.min_overlap > 1]
+    if often:
+        least = F.element_at(F.array(*(F.lit(c.min_overlap) for c in channels)), F.col("channel") + 1)
+        counted = hits.where(F.col("channel").isin(often)).groupBy("s1_id", "cand_id", "channel").agg(F.count(F.lit(1)).alias("n"))
+        hits = hits.where(~F.col("channel").isin(often)).unionByName(counted.where(F.col("n") >= least).drop("n"))
+    bits = hits.groupBy("s1_id", "cand_id").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("channel"))).alias("_bits"))
+    return bits.select("s1_id", "cand_id", *(F.shiftright("_bits", i).bitwiseAND(F.lit(1)).alias(f"from_{c.name}") for i, c in enumerate(channels)))
 
 
 def with_labels(pairs: DataFrame, truth: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from erlink.functions import similarity
 from erlink.functions import text as X
 
 RECORD_COLUMNS = ("country", "name_norm", "name_no_suffix", "name_translit", "address_norm", "street_number", "postal_run")
+TOKEN_COLUMNS = ("name_norm_tokens", "address_norm_tokens", "address_norm_digits")
 NUMBER_COLUMNS = ("primary_house_number", "house_head", "compound_number", "unit_number", "postal_strict", "number_tokens")
 
 
@@ -16,9 +17,9 @@ def _flag(c: Column) -> Column:
     return c.cast("int")
 
 
-def set_features(a: Column, b: Column, prefix: str) -> dict[str, Column]:
-    """Jaccard (1 for two empty sets), overlap, and containment (1 for two empty sets, 0 for one)."""
-    both, union, least = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), F.least(F.size(a), F.size(b))
+def set_features(a: Column, b: Column, both: Column, prefix: str) -> dict[str, Column]:
+    """Jaccard (1 for two empty sets), overlap, and containment (1 for two empty sets, 0 for one). a, b: sizes of two sets; both: of what they share."""
+    union, least = a + b - both, F.least(a, b)
     return {
         f"{prefix}_token_jaccard": F.when(union == 0, 1.0).otherwise(both / union),
         f"{prefix}_token_overlap_count": both,
@@ -27,23 +28,24 @@ def set_features(a: Column, b: Column, prefix: str) -> dict[str, Column]:
 
 
 def sql_features(pairs: DataFrame) -> DataFrame:
-    """Features that built-ins express. pairs: hydrated with RECORD_COLUMNS, and from_ flags."""
+    """Features that built-ins express. pairs: hydrated with RECORD_COLUMNS and TOKEN_COLUMNS (sets made once per record), and from_ flags."""
     c = F.col
-    rows = pairs.withColumns({f"_{k}{s}": X.tokens(c(f"{k}_norm_{s}")) for k in ("name", "address") for s in (1, 2)})
+    shared = {"_name": "name_norm_tokens", "_address": "address_norm_tokens", "_digits": "address_norm_digits"}
+    rows = pairs.withColumns({k: F.size(F.array_intersect(f"{x}_1", f"{x}_2")) for k, x in shared.items()})
     present = lambda x: (c(f"{x}_1") == c(f"{x}_2")) & (c(f"{x}_1") != "")
     flags = [x for x in pairs.columns if x.startswith("from_")]
     out = {"name_exact": _flag(c("name_norm_1") == c("name_norm_2")), "name_nosuffix_exact": _flag(c("name_no_suffix_1") == c("name_no_suffix_2"))}
-    out |= set_features(c("_name1"), c("_name2"), "name")
+    out |= set_features(F.size("name_norm_tokens_1"), F.size("name_norm_tokens_2"), c("_name"), "name")
     out |= {"name_len_diff": F.abs(F.length("name_norm_1") - F.length("name_norm_2")), "address_exact": _flag(present("address_norm")), "address_missing_s1": _flag(c("address_norm_1") == ""), "address_missing_cand": _flag(c("address_norm_2") == "")}
-    out |= set_features(c("_address1"), c("_address2"), "address")
+    out |= set_features(F.size("address_norm_tokens_1"), F.size("address_norm_tokens_2"), c("_address"), "address")
     out |= {
-        "address_numeric_token_overlap": F.size(F.array_intersect(X.digit_tokens(c("address_norm_1")), X.digit_tokens(c("address_norm_2")))),
+        "address_numeric_token_overlap": c("_digits"),
         "street_number_equal": _flag(present("street_number")),
         "postal_equal": _flag(present("postal_run")),
         "country_equal": _flag(c("country_1") == c("country_2")),
         "n_channels_hit": sum((c(x) for x in flags), F.lit(0)),
     }
-    return rows.select("*", *(x.alias(n) for n, x in out.items())).drop("_name1", "_name2", "_address1", "_address2")
+    return rows.select("*", *(x.alias(n) for n, x in out.items())).drop(*shared)
 
 
 def similarity_features(pairs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erlink.functions import text as X
+from erlink.sources.scratch import materialize
 
 K = "cast(p_partkey as bigint)"
 _STEM = f"concat(p_name, ' ', lower(p_type), ' ', substr(md5(cast({K} «DIV» 4 as «S»)), 1, 5))"
@@ -78,7 +79,7 @@ class Context:
 
     @cached_property
     def s1(self) -> DataFrame:
-        return normalized(self.source("s1"))
+        return materialize(normalized(self.source("s1")), "s1")
 
     @cached_property
     def raw_pool(self) -> DataFrame:
@@ -86,7 +87,7 @@ class Context:
 
     @cached_property
     def pool(self) -> DataFrame:
-        return normalized(self.raw_pool)
+        return materialize(normalized(self.raw_pool), "pool")
 
     @cached_property
     def truth_lists(self) -> DataFrame:
@@ -113,11 +114,15 @@ class Context:
 
 
 def normalized(records: DataFrame) -> DataFrame:
-    """The derived strings of records; transliterations equal the normal forms here, as the fixture is ASCII."""
-    name, address = X.clean(F.col("business_name")), X.clean(F.col("business_address"))
-    return records.select("entity_id", "country", name.alias("name_norm"), address.alias("address_norm"), X.postal_run(F.col("business_address")).alias("postal_run")).select(
-        "*", X.without_legal_forms(F.col("name_norm")).alias("name_no_suffix"), X.street_number(F.col("address_norm")).alias("street_number")
-    )
+    """The derived strings of records and the token sets of names and addresses, made once per record and written.
+
+    Texts with a character beyond ASCII pass through NFKC.
+    """
+    name, address = X.clean(F.col("business_name"), with_nfkc=True), X.clean(F.col("business_address"), with_nfkc=True)
+    rows = records.select("entity_id", "country", name.alias("name_norm"), address.alias("address_norm"), X.postal_run(F.col("business_address")).alias("postal_run"))
+    tokens = {f"{c}_tokens": X.tokens(F.col(c)) for c in ("name_norm", "address_norm")}
+    rows = rows.select("*", X.without_legal_forms(F.col("name_norm")).alias("name_no_suffix"), X.street_number(F.col("address_norm")).alias("street_number"), *(t.alias(n) for n, t in tokens.items()))
+    return rows.withColumn("address_norm_digits", F.filter("address_norm_tokens", X.is_digits))
 
 
 _LEGAL = ", ".join(f"'{t}'" for t in X.LEGAL_SUFFIX_TOKENS)
@@ -137,15 +142,16 @@ def toks(x: str) -> str:
 
 
 def _duck_normalized(relation: str) -> str:
-    return rf"""select *, array_to_string(list_filter(string_split(name_norm, ' '), lambda t: t <> '' and t not in ({_LEGAL})), ' ') name_no_suffix,
+    return rf"""select *, list_filter(address_norm_tokens, lambda t: regexp_matches(t, '^\p{{Nd}}+$')) address_norm_digits from (
+  select *, {toks('name_norm')} name_norm_tokens, {toks('address_norm')} address_norm_tokens, array_to_string(list_filter(string_split(name_norm, ' '), lambda t: t <> '' and t not in ({_LEGAL})), ' ') name_no_suffix,
   coalesce(list_filter(string_split(address_norm, ' '), lambda t: regexp_matches(t, '^\p{{Nd}}+$'))[1], '') street_number from (
   select entity_id, country, {_duck_norm('business_name')} name_norm, {_duck_norm('business_address')} address_norm,
-  coalesce(regexp_extract_all(business_address, '\b\d{{5,6}}\b')[-1], '') postal_run from {relation})"""
+  coalesce(regexp_extract_all(business_address, '\b\d{{5,6}}\b')[-1], '') postal_run from {relation}))"""
 
 
 #: Common table expressions of the fixtures, for DuckDB.
 ER = f"""raw1 as ({_duck_source('s1')}), raw_pool as ({_duck_source('s2')} union all {_duck_source('s3')}),
-s1 as ({_duck_normalized('raw1')}), pool as ({_duck_normalized('raw_pool')}),
+s1 as materialized ({_duck_normalized('raw1')}), pool as materialized ({_duck_normalized('raw_pool')}),
 truth as (select concat('S1-', p_partkey) s1_id, unnest(list_filter([case when p_partkey % 20 <> 0 then concat('S2-', p_partkey) end, case when p_partkey % 2 = 0 then concat('S3-', p_partkey) end], lambda x: x is not null)) cand_id from part where {GT})"""
 
 SCORES = f"""pairs as (select {", ".join(f"{duck(sql)} {name}" for name, sql in PAIRS.items())} from lineitem),

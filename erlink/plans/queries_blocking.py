@@ -30,7 +30,7 @@ def config_ctes(name: str) -> str:
         if c.kind == "exact":
             ctes.append(f"{c.name} as ({exact_sql(c.column, c.max_df)})")
         else:
-            words = f"(select {_ngram_sql(c.ngram)} from (select replace({c.column}, ' ', '') x))" if c.ngram else toks(c.column)
+            words = f"(select {_ngram_sql(c.ngram)} from (select replace({c.column}, ' ', '') x))" if c.ngram else f"{c.column}_tokens"
             ctes.append(token_ctes(c.name, words, c.max_df, c.k, c.min_overlap))
         parts.append(f"select s1_id, cand_id, '{c.name}' ch from {c.name}")
     flags = ", ".join(f"max((ch = '{c.name}')::int) from_{c.name}" for c in channels)
@@ -38,7 +38,6 @@ def config_ctes(name: str) -> str:
 
 
 D3 = config_ctes("D3")
-D4 = config_ctes("D4")
 FLAGS = ", ".join(f"from_{c.name}" for c in B.CONFIGS["D3"])
 
 
@@ -87,7 +86,7 @@ for _name, (_col, _df, _k, _m, _n) in _TOKEN_JOINS.items():
         lambda c, col=_col, df=_df, k=_k, m=_m, n=_n: B.token_join(c.s1, c.pool, B.column_ngrams(col, n) if n else B.column_tokens(col), df, k, m)
     )
 
-for _name in ("D1", "D2", "D3", "D4", "C"):
+for _name in B.CONFIGS:
     query(f"b12_config_{_name.lower()}", f"with {config_ctes(_name)} select * from cand", "er")(lambda c, name=_name: B.candidates(c.s1, c.pool, B.CONFIGS[name]))
 
 
@@ -97,9 +96,9 @@ def _(c):
     return d3(c).groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b13_labels", f"with {D4} select cand.*, (t.cand_id is not null)::int label from cand left join truth t using (s1_id, cand_id)", "er")
+@query("b13_labels", f"with {D3} select cand.*, (t.cand_id is not null)::int label from cand left join truth t using (s1_id, cand_id)", "er")
 def _(c):
-    return B.with_labels(d3(c, "D4"), c.truth)
+    return B.with_labels(d3(c), c.truth)
 
 
 @query("b14_leak_checks", f"with {D3} select count(*) n_pairs, sum((s.country <> p.country)::int)::bigint cross_country, sum((not regexp_matches(cand_id, '^S[23]-'))::int)::bigint bad_prefix, (count(*) - count(distinct (s1_id, cand_id)))::bigint duplicates from cand join s1 s on s.entity_id = s1_id join pool p on p.entity_id = cand_id", "er")
@@ -107,14 +106,14 @@ def _(c):
     return B.leak_checks(d3(c), c.s1, c.pool)
 
 
-@query("b15_hydrated_pairs", f"with {D4} select s1_id, cand_id, s.name_norm name_norm_1, p.name_norm name_norm_2, s.address_norm address_norm_1, p.address_norm address_norm_2 from cand join s1 s on s.entity_id = s1_id join pool p on p.entity_id = cand_id", "er")
+@query("b15_hydrated_pairs", f"with {D3} select s1_id, cand_id, s.name_norm name_norm_1, p.name_norm name_norm_2, s.address_norm address_norm_1, p.address_norm address_norm_2 from cand join s1 s on s.entity_id = s1_id join pool p on p.entity_id = cand_id", "er")
 def _(c):
-    return B.hydrate(d3(c, "D4").select("s1_id", "cand_id"), c.s1, c.pool, ("name_norm", "address_norm"))
+    return B.hydrate(d3(c).select("s1_id", "cand_id"), c.s1, c.pool, ("name_norm", "address_norm"))
 
 
-@query("b16_number_hydration", f"with {D4} select s1_id, cand_id, coalesce(p.postal_run, '') postal_run_2 from cand left join (select * from pool where postal_run <> '') p on p.entity_id = cand_id", "er")
+@query("b16_number_hydration", f"with {D3} select s1_id, cand_id, coalesce(p.postal_run, '') postal_run_2 from cand left join (select * from pool where postal_run <> '') p on p.entity_id = cand_id", "er")
 def _(c):
-    return B.hydrate_left(d3(c, "D4").select("s1_id", "cand_id"), c.pool.where("postal_run <> ''"), "cand_id", "_2", ("postal_run",))
+    return B.hydrate_left(d3(c).select("s1_id", "cand_id"), c.pool.where("postal_run <> ''"), "cand_id", "_2", ("postal_run",))
 
 
 RECALL_SQL = """(select count(*) from truth)::bigint true_edges, (select count(*) from cand join truth using (s1_id, cand_id))::bigint found_edges,

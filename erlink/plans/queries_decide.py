@@ -144,51 +144,6 @@ def _(c):
     return D.sweep(c.pairs, c.entities, ("country",)).select("country", "t", F.round(F.col("sum_f") / F.col("n_s1"), 6).alias("macro_f"))
 
 
-@query("t03_best_threshold", f"with {CURVE} select t, round(avg(f), 6) macro_f from fs group by t order by macro_f desc, t limit 1", "scores")
-def _(c):
-    return D.best_threshold(c.pairs, c.entities)
-
-
-@query("t03_best_two_level", f"with {CURVE}, g as (select t, (s1_id % 6 = 0)::int flag, sum(f) s, count(*) n from fs group by all) select a.t t, b.t t_high, round((a.s + b.s) / (a.n + b.n), 6) macro_f from g a join g b on a.flag = 0 and b.flag = 1 and b.t >= a.t order by macro_f desc, 1, 2 limit 1", "scores")
-def _(c):
-    entities = c.entities.withColumn("addr_missing", (F.col("s1_id") % 6 == 0).cast("int"))
-    return D.best_two_level(c.pairs.drop("addr_missing"), entities, "addr_missing")
-
-
-@query("t04_recovery_curve", f"with {RANKED}, lows as (select unnest([2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0])::double low) select low, count(*) filter (z >= 8.3 or (z1 < 8.3 and rk = 1 and z >= low and num_ok = 1)) n_pred, coalesce(sum(label) filter (z >= 8.3 or (z1 < 8.3 and rk = 1 and z >= low and num_ok = 1)), 0)::bigint tp from ranked, lows group by low", "scores")
-def _(c):
-    return S.recovery_curve(c.pairs, (2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0))
-
-
-@query("t06_cleared_by_contradiction", "select num_ok, count(*) filter (label = 0) fp, count(*) filter (label = 1) tp from pairs where z >= 8.3 group by num_ok", "scores")
-def _(c):
-    return D.rule_a(c.pairs, 8.3).groupBy("num_ok").agg(F.count_if(F.col("label") == 0).alias("fp"), F.count_if(F.col("label") == 1).alias("tp"))
-
-
-@query("t07_exploration_bins", f"with {RANKED} select case when z1 < 4 then 0 when z1 < 8 then 1 when z1 < 10 then 2 else 3 end z_bin, count(*) n_s1, round(avg((n_true = 0)::int), 6) singleton_rate, round(avg(z1), 6) mean_z1 from ranked join entities using (s1_id) where rk = 1 group by 1", "scores")
-def _(c):
-    z_bin = F.when(F.col("z1") < 4, 0).when(F.col("z1") < 8, 1).when(F.col("z1") < 10, 2).otherwise(3)
-    rows = D.ranked(c.pairs).where("rank = 1").join(c.entities, "s1_id")
-    return rows.groupBy(z_bin.alias("z_bin")).agg(F.count(F.lit(1)).alias("n_s1"), F.round(M.share(F.col("n_true") == 0), 6).alias("singleton_rate"), F.round(F.avg("z1"), 6).alias("mean_z1"))
-
-
-@query("t10_forensic_effect", f"with {RANKED} select n_channels, count(*) n_cases, count(*) filter (z >= 8.3) still_predicted, count(*) filter (z < 8.3) removed from ranked where rk = 1 and label = 0 group by n_channels", "scores")
-def _(c):
-    cases = D.ranked(c.pairs).where("rank = 1 and label = 0")
-    return cases.groupBy("n_channels").agg(F.count(F.lit(1)).alias("n_cases"), F.count_if(F.col("z") >= 8.3).alias("still_predicted"), F.count_if(F.col("z") < 8.3).alias("removed"))
-
-
-@query("t11_cleared_singletons", f"with {RANKED} select num_ok, count(*) n_s1, count(*) filter (z1 >= 8.3) predicted from ranked join entities using (s1_id) where rk = 1 and n_true = 0 group by num_ok", "scores")
-def _(c):
-    rows = D.ranked(c.pairs).where("rank = 1").join(c.entities.where("n_true = 0"), "s1_id")
-    return rows.groupBy("num_ok").agg(F.count(F.lit(1)).alias("n_s1"), F.count_if(F.col("z1") >= 8.3).alias("predicted"))
-
-
-@query("t12_reference_thresholds", f"with {CURVE} select t, round(avg(f), 6) macro_f from fs where t in (7.3, 8.3, 10.0) group by t", "scores")
-def _(c):
-    return D.sweep(c.pairs, c.entities).where(F.col("t").isin(7.3, 8.3, 10.0)).select("t", F.round(F.col("sum_f") / F.col("n_s1"), 6).alias("macro_f"))
-
-
 @query("g25_auc", "select sum(label)::bigint n_pos, sum(1 - label)::bigint n_neg, round((sum(case when label = 1 then r end) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) auc from (select label, rank() over (order by z) + (count(*) over (partition by z) - 1) / 2 r from pairs)", "scores")
 def _(c):
     return M.auc(c.pairs, "z", "label")

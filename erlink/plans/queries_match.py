@@ -12,6 +12,7 @@ from erlink.operators import model as L
 from erlink.plans.fixtures import Context, toks
 from erlink.plans.queries_blocking import config_ctes
 from erlink.plans.registry import query
+from erlink.sources.scratch import materialize
 
 #: Own choice: weights of the score that built-in features alone can give, for plans without a trained model.
 WEIGHTS = {"name_exact": 2.0, "name_nosuffix_exact": 2.0, "name_token_jaccard": 4.0, "address_token_jaccard": 5.0, "street_number_equal": 2.5, "address_exact": 1.5}
@@ -24,22 +25,22 @@ def records(c: Context, side: str):
     norm = c.s1 if side == "s1" else c.pool
     numbers = A.numbers_of(raw).drop("country")
     translit = raw.select("entity_id", X.clean(X.transliterate(F.coalesce("business_name", F.lit("")))).alias("name_translit"))
-    return norm.join(translit, "entity_id").join(numbers, "entity_id")
+    return materialize(norm.join(translit, "entity_id").join(numbers, "entity_id"), "records")
 
 
-#: The configuration of the match, the features and the models; queries whose SQL names D4 ask for that.
+#: The configuration of the match, the features and the models.
 CONFIG = "D3"
 
 
 def base_pairs(c: Context, config: str = CONFIG):
     """Candidates of a configuration with the columns that built-in features need."""
     plain = [x for x in P.RECORD_COLUMNS if x != "name_translit"]
-    return B.hydrate(B.candidates(c.s1, c.pool, B.CONFIGS[config]), c.s1, c.pool, tuple(plain))
+    return B.hydrate(B.candidates(c.s1, c.pool, B.CONFIGS[config]), c.s1, c.pool, (*plain, *P.TOKEN_COLUMNS))
 
 
 def feature_pairs(c: Context, config: str = CONFIG):
     """All 42 features of a configuration's candidates, with labels."""
-    pairs = B.hydrate(B.candidates(c.s1, c.pool, B.CONFIGS[config]), records(c, "s1"), records(c, "pool"), (*P.RECORD_COLUMNS, *P.NUMBER_COLUMNS))
+    pairs = B.hydrate(B.candidates(c.s1, c.pool, B.CONFIGS[config]), records(c, "s1"), records(c, "pool"), (*P.RECORD_COLUMNS, *P.TOKEN_COLUMNS, *P.NUMBER_COLUMNS))
     return B.with_labels(P.all_features(pairs), c.truth)
 
 
@@ -57,20 +58,18 @@ def match_query(c: Context):
     return D.rule_h2(scored).select("s1_id", "cand_id", F.round("z", 4).alias("z"), "label")
 
 
-def j(a: str, b: str, prefix: str) -> str:
-    both, union = f"len(list_intersect({a}, {b}))", f"len(list_distinct(list_concat({a}, {b})))"
+def j(a: str, b: str, both: str, prefix: str) -> str:
+    union = f"(len({a}) + len({b}) - {both})"
     return f"""(case when {union} = 0 then 1.0 else {both} / {union} end)::double {prefix}_token_jaccard, {both}::int {prefix}_token_overlap_count,
   (case when {union} = 0 then 1.0 when least(len({a}), len({b})) = 0 then 0.0 else {both} / least(len({a}), len({b})) end)::double {prefix}_token_containment"""
 
 
-def _digits(x: str) -> str:
-    return rf"list_filter({x}, lambda t: regexp_matches(t, '^\p{{Nd}}+$'))"
-
-
-FEATURES = f"""{config_ctes('D4')}, hyd as (select cand.*, s.country c1, p.country c2, s.name_norm n1, p.name_norm n2, s.name_no_suffix f1, p.name_no_suffix f2, s.address_norm a1, p.address_norm a2, s.street_number h1, p.street_number h2, s.postal_run p1, p.postal_run p2,
-  {toks('s.name_norm')} nt1, {toks('p.name_norm')} nt2, {toks('s.address_norm')} at1, {toks('p.address_norm')} at2 from cand join s1 s on s.entity_id = s1_id join pool p on p.entity_id = cand_id),
-feat as (select s1_id, cand_id, (n1 = n2)::int name_exact, (f1 = f2)::int name_nosuffix_exact, {j('nt1', 'nt2', 'name')}, abs(length(n1) - length(n2))::int name_len_diff, (a1 = a2 and a1 <> '')::int address_exact, (a1 = '')::int address_missing_s1, (a2 = '')::int address_missing_cand,
-  {j('at1', 'at2', 'address')}, len(list_intersect({_digits('at1')}, {_digits('at2')}))::int address_numeric_token_overlap, (h1 = h2 and h1 <> '')::int street_number_equal, (p1 = p2 and p1 <> '')::int postal_equal, (c1 = c2)::int country_equal, from_b1 + from_b2 + from_b3 + from_b5 + from_b7a n_channels_hit from hyd),
+#: DuckDB's features of the candidates; the sets a record has once meet in pairs.
+FEATURES = f"""{config_ctes(CONFIG)}, hyd as (select cand.*, s.country c1, p.country c2, s.name_norm n1, p.name_norm n2, s.name_no_suffix f1, p.name_no_suffix f2, s.address_norm a1, p.address_norm a2, s.street_number h1, p.street_number h2, s.postal_run p1, p.postal_run p2,
+  s.name_norm_tokens nt1, p.name_norm_tokens nt2, s.address_norm_tokens at1, p.address_norm_tokens at2, len(list_intersect(s.name_norm_tokens, p.name_norm_tokens)) nk, len(list_intersect(s.address_norm_tokens, p.address_norm_tokens)) ak, len(list_intersect(s.address_norm_digits, p.address_norm_digits)) dk
+  from cand join s1 s on s.entity_id = s1_id join pool p on p.entity_id = cand_id),
+feat as (select s1_id, cand_id, (n1 = n2)::int name_exact, (f1 = f2)::int name_nosuffix_exact, {j('nt1', 'nt2', 'nk', 'name')}, abs(length(n1) - length(n2))::int name_len_diff, (a1 = a2 and a1 <> '')::int address_exact, (a1 = '')::int address_missing_s1, (a2 = '')::int address_missing_cand,
+  {j('at1', 'at2', 'ak', 'address')}, dk::int address_numeric_token_overlap, (h1 = h2 and h1 <> '')::int street_number_equal, (p1 = p2 and p1 <> '')::int postal_equal, (c1 = c2)::int country_equal, from_b1 + from_b2 + from_b3 + from_b5 + from_b7a n_channels_hit from hyd),
 scored as (select *, round({BIAS} + {' + '.join(f'{w} * {f}' for f, w in WEIGHTS.items())}, 9) z from feat)"""
 
 NAMES = ["name_exact", "name_nosuffix_exact", "name_token_jaccard", "name_token_overlap_count", "name_token_containment", "name_len_diff"]
@@ -87,11 +86,11 @@ def _spark_picked(names: list[str]):
 
 
 for _name, _columns in (("f01_f05_f10_name_features", NAMES), ("f11_f19_address_features", ADDRESSES), ("f21_f28_channel_features", ["country_equal", "n_channels_hit"])):
-    query(_name, f"with {FEATURES} select s1_id, cand_id, {_picked(_columns)} from feat", "er")(lambda c, columns=_columns: P.sql_features(base_pairs(c, "D4")).select("s1_id", "cand_id", *_spark_picked(columns)))
+    query(_name, f"with {FEATURES} select s1_id, cand_id, {_picked(_columns)} from feat", "er")(lambda c, columns=_columns: P.sql_features(base_pairs(c)).select("s1_id", "cand_id", *_spark_picked(columns)))
 
 
 def plain_scored(c: Context):
-    rows = P.sql_features(base_pairs(c, "D4"))
+    rows = P.sql_features(base_pairs(c))
     z = F.lit(BIAS)
     for f, w in WEIGHTS.items():
         z = z + w * F.col(f)
@@ -103,9 +102,11 @@ def _(c):
     return plain_scored(c).select("s1_id", "cand_id", (F.round("z", 6) + 0.0).alias("z"))
 
 
-@query("m01_standardize", f"with {FEATURES}, m as (select avg(name_token_jaccard) a, stddev_pop(name_token_jaccard) b, avg(name_len_diff) c, stddev_pop(name_len_diff) d from feat) select s1_id, cand_id, round((name_token_jaccard - a) / b, 6) name_token_jaccard, round((name_len_diff - c) / d, 6) name_len_diff from feat, m", "er")
+@query("m01_standardize", f"""with {config_ctes(CONFIG)}, w as (select s1_id, cand_id, len(s.name_norm_tokens) x, len(p.name_norm_tokens) y, len(list_intersect(s.name_norm_tokens, p.name_norm_tokens)) k, abs(length(s.name_norm) - length(p.name_norm))::int name_len_diff
+ from cand join s1 s on s.entity_id = s1_id join pool p on p.entity_id = cand_id), feat as (select s1_id, cand_id, (case when x + y = 0 then 1.0 else k / (x + y - k) end)::double name_token_jaccard, name_len_diff from w),
+ m as (select avg(name_token_jaccard) a, stddev_pop(name_token_jaccard) b, avg(name_len_diff) c, stddev_pop(name_len_diff) d from feat) select s1_id, cand_id, round((name_token_jaccard - a) / b, 6) name_token_jaccard, round((name_len_diff - c) / d, 6) name_len_diff from feat, m""", "er")
 def _(c):
-    rows = P.sql_features(base_pairs(c, "D4")).select("s1_id", "cand_id", "name_token_jaccard", "name_len_diff")
+    rows = P.sql_features(base_pairs(c)).select("s1_id", "cand_id", "name_token_jaccard", "name_len_diff")
     names = ["name_token_jaccard", "name_len_diff"]
     return L.standardized(rows, names, *L.moments(rows, names)).select("s1_id", "cand_id", *(F.round(n, 6).alias(n) for n in names))
 
@@ -158,12 +159,12 @@ def _(c):
     return A.coverage(simple_numbers(c).select("entity_id", "country", "house_head", "unit_number", "number_tokens"))
 
 
-@query("f29_f41_number_features", f"""with {SIMPLE}, {config_ctes('D4')}, h as (select s1_id, cand_id, a.head h1, b.head h2, a.unit u1, b.unit u2, a.num x, b.num y, len(list_intersect(a.num, b.num)) k from cand join simple a on a.entity_id = s1_id join simple b on b.entity_id = cand_id)
+@query("f29_f41_number_features", f"""with {SIMPLE}, {config_ctes(CONFIG)}, h as (select s1_id, cand_id, a.head h1, b.head h2, a.unit u1, b.unit u2, a.num x, b.num y, len(list_intersect(a.num, b.num)) k from cand join simple a on a.entity_id = s1_id join simple b on b.entity_id = cand_id)
  select s1_id, cand_id, (h1 <> '' and h2 <> '' and h1 = h2)::int num_hn_head_equal, (h1 <> '' and h2 <> '' and h1 <> h2)::int num_hn_head_mismatch, (u1 <> '' and u2 <> '' and u1 = u2)::int num_unit_equal, (u1 <> '' and u2 <> '' and u1 <> u2)::int num_unit_mismatch,
  round(case when len(x) = 0 or len(y) = 0 then 0.0 else k / (len(x) + len(y) - k) end, 6)::double num_token_jaccard, least(k, 5)::int num_token_overlap, (k < len(x) and k < len(y))::int num_token_contradiction, least(len(x) + len(y) - 2 * k, 5)::int num_token_symdiff from h""", "er")
 def _(c):
     n = simple_numbers(c)
-    pairs = B.hydrate(B.candidates(c.s1, c.pool, B.CONFIGS["D4"]).select("s1_id", "cand_id"), n, n, P.NUMBER_COLUMNS)
+    pairs = B.hydrate(B.candidates(c.s1, c.pool, B.CONFIGS[CONFIG]).select("s1_id", "cand_id"), n, n, P.NUMBER_COLUMNS)
     names = ("num_hn_head_equal", "num_hn_head_mismatch", "num_unit_equal", "num_unit_mismatch", "num_token_overlap", "num_token_contradiction", "num_token_symdiff")
     return P.number_features(pairs).select("s1_id", "cand_id", F.round("num_token_jaccard", 6).alias("num_token_jaccard"), *names)
 
@@ -218,9 +219,9 @@ def _(c):
 @query("v07_equivalence_suite", "select 0::bigint n_different")
 def _(c):
     """Candidates of each country alone against those of all countries together: the same pairs."""
-    whole = B.candidates(c.s1, c.pool, B.CONFIGS["D4"])
+    whole = B.candidates(c.s1, c.pool, B.CONFIGS[CONFIG])
     parts = None
     for country in ("US", "India", "France"):
-        one = B.candidates(c.s1.where(F.col("country") == country), c.pool.where(F.col("country") == country), B.CONFIGS["D4"])
+        one = B.candidates(c.s1.where(F.col("country") == country), c.pool.where(F.col("country") == country), B.CONFIGS[CONFIG])
         parts = one if parts is None else parts.unionByName(one)
     return M.symmetric_difference(whole, parts).agg(F.count(F.lit(1)).alias("n_different"))

@@ -33,7 +33,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from erlink.plans import queries_analytics, queries_blocking, queries_decide, queries_match, queries_text  # noqa: F401
+    from erlink.plans import queries_analytics, queries_blocking, queries_decide, queries_match, queries_text, queries_tuning  # noqa: F401
 
 
 _load()
