@@ -107,8 +107,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def top_pairs(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query rows, index rows and scores of each query's k best in the block, its own id left out; ties to smaller ids."""
+def top_pairs(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query rows, index rows and scores of each query's k best in the block, its own id left out; ties to smaller ids.
+
+    seen: which rows each query may see, equal vectors alike; None: all.
+    """
     order = np.argsort(x_ids, kind="stable")
     _, same, size = np.unique(np.ascontiguousarray(x[order]).view(f"V{x.shape[1] * 8}").ravel(), return_inverse=True, return_counts=True)
     if size.max() > k + 1:  # of equal vectors no more than the k + 1 smallest ids can count
@@ -118,6 +121,8 @@ def top_pairs(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
     x, x_ids = x[order], x_ids[order]
     rough = q @ x.T
     rough[q_ids[:, None] == x_ids[None, :]] = -np.inf
+    if seen is not None:
+        rough[~seen[:, order]] = -np.inf
     n = min(k, len(x_ids))
     bound = np.partition(rough, len(x_ids) - n, axis=1)[:, len(x_ids) - n]
     slack = 1e-12 * np.abs(q).sum(1) * np.abs(x).max()
@@ -133,26 +138,18 @@ def top_pairs(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
 
 
 def top_in_leaves(q: np.ndarray, q_ids: np.ndarray, leaves: list[list[int]], x: np.ndarray, x_ids: np.ndarray, leaf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As top_pairs, but each query sees the rows of its own leaves only."""
-    at = np.repeat(np.arange(len(q)), [len(v) for v in leaves])
-    wanted = np.concatenate([np.asarray(v, np.int64) for v in leaves])
-    order = np.argsort(wanted, kind="stable")
-    at, wanted = at[order], wanted[order]
+    """As top_pairs, but each query sees the rows of its own leaves only. TILE queries at once are compared with the block."""
+    names, place = np.unique(leaf, return_inverse=True)
     found = []
-    for one in np.unique(leaf):
-        rows = np.flatnonzero(leaf == one)
-        lo, hi = np.searchsorted(wanted, (one, one + 1))
-        for t in range(lo, hi, TILE):
-            mine = at[t : min(t + TILE, hi)]
-            qi, xi, score = top_pairs(q[mine], q_ids[mine], x[rows], x_ids[rows], k)
-            found.append((mine[qi], rows[xi], score))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    qi, xi, score = (np.concatenate(c) for c in zip(*found, strict=True))
-    best = np.lexsort((x_ids[xi], -score, qi))
-    qi, xi, score = qi[best], xi[best], score[best]
-    keep = np.arange(len(qi)) - np.searchsorted(qi, np.arange(len(q)))[qi] < k
-    return qi[keep], xi[keep], score[keep]
+    for lo in range(0, len(q), TILE):
+        visited = np.zeros((min(TILE, len(q) - lo), len(names) + 1), bool)
+        at = np.repeat(np.arange(len(visited)), [len(v) for v in leaves[lo : lo + TILE]])
+        wanted = np.concatenate([np.asarray(v, np.int64) for v in leaves[lo : lo + TILE]])
+        slot = np.searchsorted(names, wanted)
+        visited[at, np.where(names[np.minimum(slot, len(names) - 1)] == wanted, slot, len(names))] = True  # the last: not in this block
+        qi, xi, score = top_pairs(q[lo : lo + TILE], q_ids[lo : lo + TILE], x, x_ids, k, visited[:, place])
+        found.append((qi + lo, xi, score))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def bins_of(sizes: np.ndarray, block: int) -> np.ndarray:
