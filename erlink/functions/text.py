@@ -129,6 +129,12 @@ def char_ngrams(text: Column, n: int) -> Column:
     return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 
+def char_ngram_string(text: Column, n: int) -> Column:
+    """All n-grams of text without its spaces, in order and with repeats, joined by spaces; the whole if it is shorter."""
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), " ", "")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(n))), " ")
+
+
 def profile_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -149,7 +149,7 @@ def candidates(s1: DataFrame, pool: DataFrame, channels: tuple[Channel, ...]) ->
         least = F.element_at(F.array(*(F.lit(c.min_overlap) for c in channels)), F.col("channel") + 1)
         counted = hits.where(F.col("channel").isin(often)).groupBy("s1_id", "cand_id", "channel").agg(F.count(F.lit(1)).alias("n"))
         hits = hits.where(~F.col("channel").isin(often)).unionByName(counted.where(F.col("n") >= least).drop("n"))
-    bits = hits.groupBy("s1_id", "cand_id").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("channel"))).alias("_bits"))
+    bits = hits.groupBy("s1_id", "cand_id").agg(F.bit_or(F.expr("shiftleft(1, channel)")).alias("_bits"))
     return bits.select("s1_id", "cand_id", *(F.shiftright("_bits", i).bitwiseAND(F.lit(1)).alias(f"from_{c.name}") for i, c in enumerate(channels)))
 
 

@@ -69,26 +69,39 @@ def exclusive_contribution(truth: DataFrame, pairs: DataFrame, channel: str) ->
     return truth.join(pairs.where(alone), ["s1_id", "cand_id"], "left_semi").agg(n_rows().alias(f"only_{channel}"))
 
 
-def token_sweep(s1: DataFrame, pool: DataFrame, truth: DataFrame, tokens: Callable[[], Column], max_dfs: Sequence[int], ks: Sequence[int]) -> DataFrame:
-    """Pairs and recall for every (max_df, k): one join; df and rank of each hit say which grid points it belongs to.
+def sweep(pairs: DataFrame, truth: DataFrame, grid: Sequence[int], name: str) -> DataFrame:
+    """sweep (name), value, n_pairs, recall: what of the pairs (s1_id, cand_id, value, any number of times) each limit of value admits.
 
-    Ranks come from all tokens by frequency, so that the k rarest under any max_df are a prefix.
+    A pair counts from its least value on, so each pair is one row, whatever the grid; the curve is a sum over the grid's bins.
     """
+    least = pairs.groupBy("s1_id", "cand_id").agg(F.min("value").alias("value")).where(F.col("value") <= grid[-1])
+    bin_of = sum(((F.col("value") > g).cast("int") for g in grid[:-1]), F.lit(0))
+    marked = least.join(truth.select("s1_id", "cand_id", F.lit(1).alias("_hit")), ["s1_id", "cand_id"], "left").groupBy(bin_of.alias("bin")).agg(n_rows().alias("n"), F.count("_hit").alias("k"))
+    upto = marked.select(F.explode(F.sequence(F.col("bin"), F.lit(len(grid) - 1))).alias("at"), "n", "k").groupBy("at").agg(F.sum("n").alias("n_pairs"), F.sum("k").alias("k"))
+    points = pairs.sparkSession.createDataFrame(list(enumerate(grid)), "at int, value int")
+    rows = points.join(upto, "at", "left").na.fill(0, ["n_pairs", "k"])
+    return rows.select(F.lit(name).alias("sweep"), "value", "n_pairs", F.round(F.col("k") / truth.agg(n_rows()).scalar(), 6).alias("recall"))
+
+
+def token_hits(s1: DataFrame, pool: DataFrame, tokens: Callable[[], Column], max_df: int, k: int) -> DataFrame:
+    """s1_id, cand_id, df, rank of every shared token. Ranks go by frequency, so the k rarest under a smaller max_df are a prefix."""
     have = B.postings(pool, tokens(), "cand_id")
-    asked = B.rarest_tokens(B.postings(s1, tokens(), "s1_id"), B.document_frequency(have, max_df=max(max_dfs)), max(ks))
-    hits = asked.select("country", "token", "s1_id", "df", "rank").join(have, ["country", "token"])
-    grid = F.explode(F.filter(F.array(*(F.struct(F.lit(d).alias("max_df"), F.lit(k).alias("k")) for d in max_dfs for k in ks)), lambda g: (F.col("df") <= g["max_df"]) & (F.col("rank") <= g["k"])))
-    pairs = hits.select("s1_id", "cand_id", grid.alias("g")).select("s1_id", "cand_id", "g.*").distinct()
-    marked = pairs.join(truth.withColumn("_hit", F.lit(1)), ["s1_id", "cand_id"], "left")
-    total = truth.agg(n_rows()).scalar()
-    found = marked.groupBy("max_df", "k").agg(n_rows().alias("n_pairs"), F.count("_hit").alias("_found"))
-    return found.select("max_df", "k", "n_pairs", F.round(F.col("_found") / total, 6).alias("recall"))
-
-
-def elbow(sweep: DataFrame, portion: float = 0.99) -> DataFrame:
-    """Per k, the least max_df that reaches portion of the best recall."""
-    best = sweep.withColumn("best", F.max("recall").over(Window.partitionBy("k")))
-    return best.where(F.col("recall") >= portion * F.col("best")).groupBy("k").agg(F.min("max_df").alias("elbow_max_df"))
+    asked = B.rarest_tokens(B.postings(s1, tokens(), "s1_id"), B.document_frequency(have, max_df=max_df), k)
+    return asked.select("country", "token", "s1_id", "df", "rank").join(have, ["country", "token"]).select("s1_id", "cand_id", "df", "rank")
+
+
+def key_hits(s1: DataFrame, pool: DataFrame, key: str) -> DataFrame:
+    """s1_id, cand_id, df of every shared exact key."""
+    have = B.exact_index(pool, key)
+    df = have.groupBy("country", "key").agg(n_rows().alias("df"))
+    left = s1.where(F.col(key) != "").select("country", F.col(key).alias("key"), F.col("entity_id").alias("s1_id"))
+    return left.join(df, ["country", "key"]).join(have, ["country", "key"]).select("s1_id", "cand_id", "df")
+
+
+def elbow(sweeps: DataFrame, portion: float = 0.99) -> DataFrame:
+    """Per sweep, the least value that reaches portion of the best recall."""
+    best = sweeps.withColumn("best", F.max("recall").over(Window.partitionBy("sweep")))
+    return best.where(F.col("recall") >= portion * F.col("best")).groupBy("sweep").agg(F.min("value").alias("elbow"))
 
 
 def candidate_stats(s1: DataFrame, pairs: DataFrame) -> DataFrame:

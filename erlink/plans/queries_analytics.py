@@ -5,11 +5,9 @@ from pyspark.sql import functions as F
 from erlink.operators import blocking as B
 from erlink.operators import metrics as M
 from erlink.operators import profile as R
-from erlink.operators import validate as V
 from erlink.plans.fixtures import toks
 from erlink.plans.queries_blocking import exact_sql
 from erlink.plans.registry import query
-from erlink.sources import sinks
 
 _TOK = "len(regexp_extract_all(lower(business_address), '[a-z0-9]+'))"
 
@@ -192,27 +190,3 @@ def _(c):
 def _(c):
     claims = c.truth.groupBy("cand_id").agg(F.min("s1_id").alias("claimed_by"))
     return R.categorized(_pairs(c)).join(claims, "cand_id", "left").select("s1_id", "cand_id", F.col("country_1").alias("country"), "name_norm_1", "name_norm_2", "address_norm_1", "address_norm_2", "category", "claimed_by")
-
-
-def _files(c):
-    lists = sinks.id_lists(c.s1, B.exact_join(c.s1, c.pool, "name_no_suffix"), "ids")
-    preds = sinks.id_lists(c.s1, c.truth, "ids")
-    line = lambda d: V.parse_lists(d.select(F.concat_ws("\t", "source1_entity_id", "ids").alias("value")))
-    return line(lists), line(preds)
-
-
-@query("v01_output_violations", f"with {_E}, o as (select count(*) n from truth t where not exists (select 1 from e where e.s1_id = t.s1_id and e.cand_id = t.cand_id)) select 0::bigint s1_mismatch, 0::bigint cand_bad_prefix, 0::bigint pred_bad_prefix, 0::bigint cand_dup, 0::bigint pred_dup, 0::bigint self_match, n pred_not_in_cand, 0::bigint malformed, 0::bigint empty_not_blank, 0::bigint cand_unknown_id from o", "er")
-def _(c):
-    candidates, predictions = _files(c)
-    return V.violations(candidates, predictions, c.pool)
-
-
-@query("v02_v03_coverage", "select 0::bigint missing_s1, count(*) filter (country = 'France') foreign_s1, 0::bigint repeated_s1 from s1", "er")
-def _(c):
-    return V.coverage(_files(c)[1], c.s1.where("country <> 'France'"))
-
-
-@query("v06_row_sequence", "select 0::bigint out_of_order", "")
-def _(c):
-    rows = c.s1.select("entity_id", "country", F.substring("entity_id", 4, 12).cast("bigint").alias("row"))
-    return V.out_of_order(rows, "row", "row", "country")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from erlink.functions import text as X
 from erlink.operators import blocking as B
 from erlink.operators import metrics as M
-from erlink.plans.fixtures import toks
+from erlink.plans.fixtures import _duck_norm, _duck_source, toks
 from erlink.plans.queries_text import _ngram_sql
 from erlink.plans.registry import query
 
@@ -75,10 +75,9 @@ _TOKEN_JOINS = {
     "b06_token_or_address": ("address_norm", 2000, 6, 1, 0),
     "b07_min_overlap_name": ("name_norm", 500, 6, 2, 0),
     "b07_min_overlap_address": ("address_norm", 2000, 6, 2, 0),
-    "b08_no_suffix_tokens": ("name_no_suffix", 200, 6, 1, 0),
     "b09_rare_address": ("address_norm", 500, 2, 1, 0),
-    "b10_ngram3": ("name_norm", 100, 12, 1, 3),
-    "b10_ngram4": ("name_norm", 100, 12, 1, 4),
+    "b10_ngram3": ("name_norm", 3000, 12, 1, 3),
+    "b10_ngram4": ("name_norm", 500, 12, 1, 4),
 }
 for _name, (_col, _df, _k, _m, _n) in _TOKEN_JOINS.items():
     _words = f"(select {_ngram_sql(_n)} from (select replace({_col}, ' ', '') x))" if _n else toks(_col)
@@ -86,6 +85,16 @@ for _name, (_col, _df, _k, _m, _n) in _TOKEN_JOINS.items():
         lambda c, col=_col, df=_df, k=_k, m=_m, n=_n: B.token_join(c.s1, c.pool, B.column_ngrams(col, n) if n else B.column_tokens(col), df, k, m)
     )
 
+#: Names with an accent on one side: only their transliterations share tokens.
+_ACCENTED = f"s1 as (select entity_id, country, {toks(_duck_norm('strip_accents(a)'))} tokens from (select *, replace(business_name, 'e', 'é') a from raw1)), pool as (select entity_id, country, {toks(_duck_norm('strip_accents(business_name)'))} tokens from raw_pool)"
+
+
+@query("b08_translit_tokens", f"with raw1 as ({_duck_source('s1')}), raw_pool as ({_duck_source('s2')} union all {_duck_source('s3')}), {_ACCENTED}, {token_ctes('t', 'tokens', 500, 6)} select s1_id, cand_id, overlap from t")
+def _(c):
+    translit = lambda rows, name: rows.select("entity_id", "country", X.clean(X.transliterate(name)).alias("name_translit"))
+    return B.token_join(translit(c.source("s1"), F.expr("replace(business_name, 'e', 'é')")), translit(c.raw_pool, F.col("business_name")), B.column_tokens("name_translit"), 500, 6)
+
+
 for _name in B.CONFIGS:
     query(f"b12_config_{_name.lower()}", f"with {config_ctes(_name)} select * from cand", "er")(lambda c, name=_name: B.candidates(c.s1, c.pool, B.CONFIGS[name]))
 
@@ -151,33 +160,56 @@ def _(c):
     return M.exclusive_contribution(c.truth, d3(c), "b5")
 
 
-GRID_DF, GRID_K = (20, 100, 500), (2, 4, 6)
-_SWEEP = f"""with sp as (select distinct country, entity_id cand_id, unnest({toks('name_norm')}) token from pool), sd as (select country, token, count(*) df from sp group by all),
-sq as (select q.*, df, row_number() over (partition by s1_id order by df, token) rk from (select distinct country, entity_id s1_id, unnest({toks('name_norm')}) token from s1) q join sd using (country, token)),
-hits as (select s1_id, cand_id, min(df) df, min(rk) rk, list((df, rk)) from sq join sp using (country, token) group by s1_id, cand_id),
-g as (select max_df, k from (select unnest({list(GRID_DF)}) max_df) a, (select unnest({list(GRID_K)}) k) b),
-n as (select max_df, k, s1_id, cand_id from g join (select s1_id, cand_id, df, rk from sq join sp using (country, token)) h on h.df <= max_df and h.rk <= k group by all),
-res as (select g.max_df::int max_df, g.k::int k, (select count(*) from n where n.max_df = g.max_df and n.k = g.k)::bigint n_pairs, round((select count(*) from n join truth using (s1_id, cand_id) where n.max_df = g.max_df and n.k = g.k) / (select count(*) from truth), 6) recall from g)"""
+#: Grids of the sweeps.
+MAX_DFS, TOP_KS, STREET_CAPS, NGRAM_DFS = (500, 1000, 3000, 5000, 10000, 25000), (1, 2, 3, 4, 6, 8), (100, 250, 500, 1000, 2000, 5000), (500, 1000, 2000)
+#: name: (column, n-gram or 0, greatest max_df, K, grid, what is limited)
+SWEEPS = {
+    "name_max_df": ("name_norm", 0, MAX_DFS[-1], 6, MAX_DFS, "df"),
+    "name_top_k": ("name_norm", 0, MAX_DFS[0], TOP_KS[-1], TOP_KS, "rank"),
+    "address_max_df": ("address_norm", 0, MAX_DFS[-1], 8, MAX_DFS, "df"),
+    "ngram4_max_df": ("name_norm", 4, NGRAM_DFS[-1], 12, NGRAM_DFS, "df"),
+}
+
+
+def _sweep_sql(name: str, hits: str, limit: str, grid) -> str:
+    return f"""(with {hits}, pr as (select s1_id, cand_id, min({limit}) v from h group by all), hit as (select pr.* from pr join truth using (s1_id, cand_id))
+ select '{name}' sweep, g::int "value", (select count(*) from pr where v <= g)::bigint n_pairs, round((select count(*) from hit where v <= g) / (select count(*) from truth), 6) recall from (select unnest({list(grid)}) g))"""
+
+
+def _token_hits_sql(column: str, n: int, max_df: int, k: int) -> str:
+    words = f"(select {_ngram_sql(n)} from (select replace({column}, ' ', '') x))" if n else f"{column}_tokens"
+    return f"{token_ctes('t', words, max_df, k)}, rk as (select *, row_number() over (partition by s1_id order by df, token) rank from t_q), h as (select s1_id, cand_id, df, rank from rk join t_p using (country, token))"
+
+
+SWEEP_SQL = " union all ".join([*(_sweep_sql(x, _token_hits_sql(c, n, d, k), limit, grid) for x, (c, n, d, k, grid, limit) in SWEEPS.items()), _sweep_sql("street_cap", "h as (select s.entity_id s1_id, p.entity_id cand_id, count(*) over (partition by s.entity_id) df from s1 s join pool p on s.country = p.country and s.street_number = p.street_number and s.street_number <> '')", "df", STREET_CAPS)])
+
+
+def sweeps(c):
+    out = M.sweep(M.key_hits(c.s1, c.pool, "street_number").withColumnRenamed("df", "value"), c.truth, STREET_CAPS, "street_cap")
+    for name, (column, n, max_df, k, grid, limit) in SWEEPS.items():
+        tokens = B.column_ngrams(column, n) if n else lambda column=column: F.col(f"{column}_tokens")
+        out = out.unionByName(M.sweep(M.token_hits(c.s1, c.pool, tokens, max_df, k).withColumnRenamed(limit, "value"), c.truth, grid, name))
+    return out
 
 
-@query("g10_max_df_sweep", f"{_SWEEP} select * from res", "er")
+@query("g10_sweeps", f"select * from ({SWEEP_SQL})", "er")
 def _(c):
-    return M.token_sweep(c.s1, c.pool, c.truth, B.column_tokens("name_norm"), GRID_DF, GRID_K)
+    return sweeps(c)
 
 
-@query("g11_elbow", f"{_SWEEP} select k, min(max_df)::int elbow_max_df from (select *, max(recall) over (partition by k) best from res) where recall >= 0.99 * best group by k", "er")
+@query("g11_elbow", f"select sweep, min(\"value\")::int elbow from (select *, max(recall) over (partition by sweep) best from ({SWEEP_SQL})) where recall >= 0.99 * best group by sweep", "er")
 def _(c):
-    return M.elbow(M.token_sweep(c.s1, c.pool, c.truth, B.column_tokens("name_norm"), GRID_DF, GRID_K))
+    return M.elbow(sweeps(c))
 
 
 def _config_recall(name: str) -> str:
     return f"(with {config_ctes(name)} select '{name}' config, {RECALL_SQL})"
 
 
-@query("g12_config_comparison", " union all ".join(f"select * from {_config_recall(n)}" for n in ("D1", "D2", "D3", "D4")), "er")
+@query("g12_config_comparison", " union all ".join(f"select * from {_config_recall(n)}" for n in B.CONFIGS), "er")
 def _(c):
     out = None
-    for name in ("D1", "D2", "D3", "D4"):
+    for name in B.CONFIGS:
         one = M.blocking_recall(c.s1, c.pool, c.truth, B.candidates(c.s1, c.pool, B.CONFIGS[name])).select(F.lit(name).alias("config"), "*")
         out = one if out is None else out.unionByName(one)
     return out

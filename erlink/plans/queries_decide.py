@@ -201,9 +201,3 @@ def _(c):
 def _(c):
     both = c.entities.withColumn("part", F.lit("population")).unionByName(S.seeded_sample(c.entities, "s1_id", 500, "42").withColumn("part", F.lit("sample")))
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n_s1"), F.round(100 * M.share(F.col("n_true") == 0), 6).alias("singleton_pct"), F.round(F.avg("n_true"), 6).alias("mean_true"), F.expr("percentile(n_true, 0.5)").alias("median_true"))
-
-
-@query("set_split_disjoint", "select 0::bigint n_shared")
-def _(c):
-    parts = S.split(c.entities, "s1_id", "split", (("train", 80), ("val", 20)))
-    return parts.where("part = 'train'").join(parts.where("part = 'val'"), "s1_id", "left_semi").agg(F.count(F.lit(1)).alias("n_shared"))

@@ -214,14 +214,3 @@ def _(c):
     n_true = c.truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true"))
     entities = c.s1.select(F.col("entity_id").alias("s1_id"), "country").join(n_true, "s1_id", "left").na.fill(0, ["n_true"]).where(half == 1)
     return M.macro(M.entity_scores(entities, D.rule_a(scored, 3.0)), "country")
-
-
-@query("v07_equivalence_suite", "select 0::bigint n_different")
-def _(c):
-    """Candidates of each country alone against those of all countries together: the same pairs."""
-    whole = B.candidates(c.s1, c.pool, B.CONFIGS[CONFIG])
-    parts = None
-    for country in ("US", "India", "France"):
-        one = B.candidates(c.s1.where(F.col("country") == country), c.pool.where(F.col("country") == country), B.CONFIGS[CONFIG])
-        parts = one if parts is None else parts.unionByName(one)
-    return M.symmetric_difference(whole, parts).agg(F.count(F.lit(1)).alias("n_different"))

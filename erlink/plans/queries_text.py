@@ -7,10 +7,6 @@ from erlink.plans.fixtures import Context, toks
 from erlink.plans.registry import query
 from erlink.sources import readers, sinks
 
-#: The SQL of the queries over documents still reads the first line only; the queries read the whole text (see README).
-DOC_LINE = "split_part(text, chr(10), 1)"
-
-
 def _texts(c: Context):
     return c.table("documents").select("doc_id", "text")
 
@@ -63,9 +59,24 @@ def _(c):
     return sinks.id_lists(c.s1, c.truth, "matched_entity_ids")
 
 
-@query("n02_basic_clean", rf"select doc_id, trim(regexp_replace(regexp_replace(replace(lower({DOC_LINE}), '&', ' and '), '[^\p{{L}}\p{{N}}_\p{{M}}\s]', ' ', 'g'), '\s+', ' ', 'g')) cleaned from documents")
+@query("n02_basic_clean", rf"select doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), '&', ' and '), '[^\p{{L}}\p{{N}}_\p{{M}}\s]', ' ', 'g'), '\s+', ' ', 'g')) cleaned from documents")
+def _(c):
+    return _texts(c).select("doc_id", X.clean(F.col("text"), with_nfkc=True).alias("cleaned"))
+
+
+#: Compatibility forms that NFC leaves and NFKC replaces, put into texts so that the two differ.
+_COMPAT = {"ﬁ": "fi", "①": "1", "Ａ": "A", "㎏": "kg", "½": "1⁄2"}
+
+
+@query("n01_nfkc", "select doc_id, nfc_normalize(concat(text, ' ', '" + " ".join(_COMPAT.values()) + "')) folded from documents where text is not null")
+def _(c):
+    put = F.concat(F.col("text"), F.lit(" " + " ".join(_COMPAT)))
+    return _texts(c).where("text is not null").select("doc_id", X.nfkc(put).alias("folded"))
+
+
+@query("n03_transliterate", "select doc_id, replace(strip_accents(text), 'ß', 'ss') ascii_text from documents where text is not null")
 def _(c):
-    return _texts(c).select("doc_id", X.clean(F.col("text")).alias("cleaned"))
+    return _texts(c).where("text is not null").select("doc_id", X.transliterate("text").alias("ascii_text"))
 
 
 @query("n04_strip_legal_forms", "select entity_id, name_no_suffix from s1", "er")
@@ -102,9 +113,9 @@ def _(c):
     return c.s1.select("entity_id", F.array_sort(X.char_ngrams(F.col("name_norm"), 3)).alias("grams"))
 
 
-@query("n10_ngram_string", f"select entity_id, array_to_string({_ngram_sql(4)}, ' ') grams from (select entity_id, replace(name_norm, ' ', '') x from s1)", "er")
+@query("n10_ngram_string", "select entity_id, array_to_string(list_transform(range(1, greatest(length(x) - 3, 1) + 1), lambda i: substr(x, i, 4)), ' ') grams from (select entity_id, replace(name_norm, ' ', '') x from s1)", "er")
 def _(c):
-    return c.s1.select("entity_id", F.array_join(F.array_sort(X.char_ngrams(F.col("name_norm"), 4)), " ").alias("grams"))
+    return c.s1.select("entity_id", X.char_ngram_string(F.col("name_norm"), 4).alias("grams"))
 
 
 @query("n11_digit_tokens", rf"select entity_id, list_sort(list_filter({toks('address_norm')}, lambda t: regexp_matches(t, '^\p{{Nd}}+$'))) digits from pool", "er")
@@ -112,7 +123,7 @@ def _(c):
     return c.pool.select("entity_id", F.array_sort(X.digit_tokens(F.col("address_norm"))).alias("digits"))
 
 
-@query("n12_profile_tokens", f"select doc_id, len(regexp_extract_all(lower({DOC_LINE}), '[a-z0-9]+'))::bigint n_tokens, coalesce(regexp_extract_all(lower({DOC_LINE}), '[a-z0-9]+')[1], '') first_token from documents")
+@query("n12_profile_tokens", f"select doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::bigint n_tokens, coalesce(regexp_extract_all(lower(text), '[a-z0-9]+')[1], '') first_token from documents")
 def _(c):
     t = X.profile_tokens(F.col("text"))
     return _texts(c).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.coalesce(F.get(t, F.lit(0)), F.lit("")).alias("first_token"))
@@ -123,7 +134,7 @@ def _(c):
     return c.raw_pool.select("entity_id", X.plain_name(F.col("business_name")).alias("plain"))
 
 
-@query("n14_beyond_latin", f"select doc_id, len(list_filter(string_split({DOC_LINE}, ''), lambda x: unicode(x) > 591)) > 0 beyond from documents")
+@query("n14_beyond_latin", f"select doc_id, len(list_filter(string_split(text, ''), lambda x: unicode(x) > 591)) > 0 beyond from documents")
 def _(c):
     return _texts(c).select("doc_id", X.beyond_latin(F.col("text")).alias("beyond"))
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from erlink.sources.scratch import materialize
+from erlink.sources.sinks import read_text
+
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(n, T.StringType()) for n in ("source1_entity_id", "matched_entity_ids")])
 
@@ -57,19 +60,24 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("entity_id")).where("entity_id <> ''")
 
 
-def with_ordinal(rows: DataFrame, *order: str, name: str = "row") -> DataFrame:
-    """rows with their position in the given order, from 0, attached once at ingest and kept as a column after that.
+def with_ordinal(spark: SparkSession, path: str, schema: T.StructType = RECORD, name: str = "row") -> DataFrame:
+    """A TSV's rows with their position in it, from 0, in the order of the files' names and of the lines in them.
 
-    The one use of an RDD here: zipWithIndex counts partitions and then numbers them, without one task for all rows.
+    Rows are numbered within their block of the file, which a split bounds; a block's first position is the sum of those
+    before it, of which there is one row a block. So neither a global sort nor one task for all rows is needed.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType(), False)])
-    return rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    rows = read_tsv(spark, path, schema).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    rows = materialize(rows, "ordinal")  # the ids stay as they are read once
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_block").orderBy("_at")) - 1
+    numbered = rows.withColumn("_within", within).join(starts, "_block")
+    return numbered.select(*schema.names, (F.col("_start") + F.col("_within")).cast("bigint").alias(name))
 
 
-def read_model(path: str) -> dict:
+def read_model(spark: SparkSession, path: str) -> dict:
     """Feature order, scaler, coefficients, intercept and thresholds, from JSON."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
+    model = json.loads(read_text(spark, path))
     n = len(model["features"])
     if not len(model["mean"]) == len(model["scale"]) == len(model["coef"]) == n:
         raise ValueError("the model's lists differ in length")

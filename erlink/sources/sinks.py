@@ -6,10 +6,11 @@ import hashlib
 import json
 import os
 import platform
+import resource
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,52 +34,138 @@ def write_tsv(rows: DataFrame, path: str, order: str | None = None) -> None:
     ordered.write.mode("overwrite").options(sep="\t", header=True, quote="", emptyValue="", nullValue="").csv(path)
 
 
-def merge_parts(folder: str, target: str, sha: bool = True) -> str:
-    """Joins the part files of an ordered local folder, in name order and with one header, and publishes the file at once."""
-    parts = sorted(p for p in os.listdir(folder) if p.startswith("part-"))
-    digest, temporary, seen = hashlib.sha256(), f"{target}.tmp", False
-    with open(temporary, "wb") as out:
+def _open(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path: any store that Spark reaches, not the driver's disk alone."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def parts_of(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _open(spark, folder)
+    return sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-"))
+
+
+def _digested(spark: SparkSession, out):
+    digest = spark._jvm.java.security.MessageDigest.getInstance("SHA-256")
+    return digest, spark._jvm.java.security.DigestOutputStream(out, digest)
+
+
+def _copy(spark: SparkSession, source: str, out, skip: int = 0) -> None:
+    """Streams a file inside the JVM, in blocks."""
+    fs, p = _open(spark, source)
+    stream = fs.open(p)
+    try:
+        stream.seek(skip)
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+    finally:
+        stream.close()
+
+
+def _first_line(spark: SparkSession, path: str) -> bytes:
+    fs, p = _open(spark, path)
+    stream = fs.open(p)
+    try:
+        line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return b"" if line is None else (line + "\n").encode()
+
+
+def publish(spark: SparkSession, temporary: str, target: str) -> None:
+    """Renames a finished file over the target; readers see the old file or the new one."""
+    fs, p = _open(spark, target)
+    fs.delete(p, False)
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(temporary), p):
+        raise OSError(f"cannot publish {target}")
+
+
+def merge_parts(spark: SparkSession, folder: str, target: str) -> str:
+    """Joins the part files of an ordered folder, in name order and with one header, publishes the file and returns its SHA-256."""
+    parts, temporary = parts_of(spark, folder), f"{target}.tmp"
+    fs, p = _open(spark, temporary)
+    digest, out = _digested(spark, fs.create(p, True))
+    try:
+        seen = False
         for part in parts:
-            with open(os.path.join(folder, part), "rb") as f:
-                head = f.readline()
-                for block in (() if seen else (head,)):
-                    out.write(block)
-                    digest.update(block)
-                seen = seen or bool(head)
-                while block := f.read(16 << 20):
-                    out.write(block)
-                    digest.update(block)
-    os.replace(temporary, target)
-    return digest.hexdigest() if sha else ""
+            head = _first_line(spark, part)
+            _copy(spark, part, out, len(head) if seen else 0)
+            seen = seen or bool(head)
+    finally:
+        out.close()
+    publish(spark, temporary, target)
+    return bytes(digest.digest()).hex()
 
 
-def sha256_of(path: str) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(16 << 20):
-            digest.update(block)
-    return digest.hexdigest()
+def sha256_of(spark: SparkSession, path: str) -> str:
+    digest, out = _digested(spark, spark._jvm.java.io.OutputStream.nullOutputStream())
+    _copy(spark, path, out)
+    return bytes(digest.digest()).hex()
 
 
-def fingerprint(*inputs: str) -> dict:
-    """Versions, and digests of the inputs."""
-    import pyspark
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, published at once."""
+    fs, p = _open(spark, f"{path}.tmp")
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    publish(spark, f"{path}.tmp", path)
+
 
-    return {"python": platform.python_version(), "pyspark": pyspark.__version__, "inputs": {os.path.basename(p): sha256_of(p) for p in inputs}}
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    fs, p = _open(spark, path)
+    stream, held = fs.open(p), spark._jvm.java.io.ByteArrayOutputStream()
+    try:
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, held, 1 << 16, False)
+    finally:
+        stream.close()
+    return bytes(held.toByteArray()).decode()
+
+
+def fingerprint(spark: SparkSession, *inputs: str) -> dict:
+    """Versions, and digests of the engine's code and of the inputs (files, or folders of part files)."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = {}
+    for folder, _, names in sorted(os.walk(package)):
+        for name in sorted(names):
+            if name.endswith(".py"):
+                path = os.path.join(folder, name)
+                with open(path, "rb") as f:
+                    code[os.path.relpath(path, package)] = hashlib.sha256(f.read()).hexdigest()
+    files = {}
+    for path in inputs:
+        fs, p = _open(spark, path)
+        for part in parts_of(spark, path) if fs.getFileStatus(p).isDirectory() else [path]:
+            files[part.rsplit("/", 1)[-1] if part == path else "/".join(part.rsplit("/", 2)[1:])] = sha256_of(spark, part)
+    return {"python": platform.python_version(), "spark": spark.version, "code": code, "inputs": files}
+
+
+def telemetry(spark: SparkSession) -> dict:
+    """What the stages of this application have taken so far, and the driver's peak memory."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    rows = [stages.apply(i) for i in range(stages.size())]
+    total = lambda f: sum(getattr(r, f)() for r in rows)
+    return {
+        "stages": len(rows), "tasks": total("numCompleteTasks"), "failed_tasks": total("numFailedTasks"), "run_seconds": total("executorRunTime") / 1e3, "cpu_seconds": total("executorCpuTime") / 1e9,
+        "shuffle_bytes": total("shuffleWriteBytes"), "spilled_bytes": total("diskBytesSpilled"), "driver_peak_mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024,
+    }
 
 
 @contextmanager
-def manifest(path: str, **known):
+def manifest(spark: SparkSession, path: str, **known):
     """A JSON report of a run, written also when it fails; the body may add to the yielded dict."""
     report, began = dict(known), time.time()
+    report["status"] = "running"
     try:
         yield report
-        report["status"] = "ok"
-    except Exception as error:
-        report |= {"status": "failed", "error": f"{type(error).__name__}: {error}"[:2000]}
+        if report["status"] == "running":
+            report["status"] = "success"
+    except BaseException as error:
+        report |= {"status": "failure", "error": f"{type(error).__name__}: {error}"[:2000]}
         raise
     finally:
         report["seconds"] = round(time.time() - began, 3)
-        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-            json.dump(report, f, indent=2, sort_keys=True)
-        os.replace(f"{path}.tmp", path)
+        report["telemetry"] = telemetry(spark)
+        write_text(spark, path, json.dumps(report, indent=2, sort_keys=True))
