@@ -26,6 +26,13 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
     return add
 
 
+def views(spark: SparkSession, sf_dir: str) -> None:
+    """The fixtures as temporary views, for SQL."""
+    c = Context(spark, sf_dir)
+    for name in ("s1", "pool", "raw_pool", "truth", "pairs", "entities"):
+        getattr(c, name).createOrReplaceTempView(name)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from erlink.plans.queries_match import match_query
 

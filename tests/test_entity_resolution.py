@@ -63,14 +63,14 @@ def test_files(spark, tmp_path):
         f.write('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-2\t"Joe ""X"" Bar"\tNA\tUS\nS1-1\tnull\t\tIndia\n')
     rows = readers.read_tsv(spark, path)
     assert [tuple(r) for r in rows.orderBy("entity_id").collect()] == [("S1-1", "null", None, "India"), ("S1-2", 'Joe "X" Bar', "NA", "US")]
-    assert [(r.entity_id, r.row) for r in readers.with_ordinal(rows, "entity_id").collect()] == [("S1-1", 0), ("S1-2", 1)]
+    assert sorted((r.row, r.entity_id) for r in readers.with_ordinal(spark, path).collect()) == [(0, "S1-2"), (1, "S1-1")]
     lists = spark.createDataFrame([(1, "S1-1", ""), (2, "S1-2", "S2-1,S3-1")], "row long, source1_entity_id string, matched_entity_ids string")
     sinks.write_tsv(lists, str(tmp_path / "out"), "row")
-    digest = sinks.merge_parts(str(tmp_path / "out"), str(tmp_path / "out.tsv"))
-    assert (tmp_path / "out.tsv").read_text() == "source1_entity_id\tmatched_entity_ids\nS1-1\t\nS1-2\tS2-1,S3-1\n" and digest == sinks.sha256_of(str(tmp_path / "out.tsv"))
-    with pytest.raises(ValueError), sinks.manifest(str(tmp_path / "m.json"), shard="US"):
+    digest = sinks.merge_parts(spark, str(tmp_path / "out"), str(tmp_path / "out.tsv"))
+    assert (tmp_path / "out.tsv").read_text() == "source1_entity_id\tmatched_entity_ids\nS1-1\t\nS1-2\tS2-1,S3-1\n" and digest == sinks.sha256_of(spark, str(tmp_path / "out.tsv"))
+    with pytest.raises(ValueError), sinks.manifest(spark, str(tmp_path / "m.json"), shard="US"):
         raise ValueError("no")
-    assert '"status": "failed"' in (tmp_path / "m.json").read_text()
+    assert '"status": "failure"' in (tmp_path / "m.json").read_text()
 
 
 def test_f05_conventions(spark):
