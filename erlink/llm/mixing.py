@@ -28,7 +28,7 @@ UNIT = 1_000_000_000
 #: Cells of the points' range, by which slots find the stretches of the sources with an equi-join.
 CELL = MODULUS >> 12
 #: Rows of a chunk in prefix sums.
-CHUNK = 1 << 14
+CHUNK = 1 << 11
 
 
 def n_words(text: Column) -> Column:
@@ -67,14 +67,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """doc_id, size, source_size, target, taken for every row of docs.
 
     A null text has size 0, as one without a word: it takes nothing. A null source is a source, the last. Rows that
-    repeat an id are rows of their own, in order of size; equal rows are alike. No words at all: everything is 0. Only
-    the three named columns are read. Reruns agree.
+    repeat an id, or have none, are rows of their own, in order of size; equal rows are alike. No words at all: everything
+    is 0. An empty table gives no rows. Very long texts are counted whole. Only the three named columns are read, so
+    others may have any name. Reruns agree.
+
+    Rows of equal source, id and size are one row with a count until the last step, so that no number of them, nor any
+    number of rows without an id, meets in a window.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
+    sized = sized.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
     sized = materialize(sized.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
-    sources = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-sources")
-    head = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
+    words_of = F.col("size") * F.col("copies")
+    sources = materialize(targets(sized.groupBy("source").agg(F.sum(words_of).alias("source_size"))), "mix-sources")
+    head = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(words_of), F.lit(0)).alias("total")).first()
     block = max(1, min(MAX_BLOCK, head["total"] // SLOTS))
     digits = 1
     while 16**digits * CHUNK < head["n"]:
@@ -105,13 +111,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # The documents in shuffled order, cut into blocks.
     named = sized.join(small(plan.select(F.col("source").alias("_s"), "idx", "source_size", "target"), of_plan["n"], 256), sized["source"].eqNullSafe(F.col("_s"))).drop("_s")
-    placed = _offsets(named.withColumn("part", F.substring("h", 1, digits)), "idx", "part", ["h", "doc_id", "size"], F.col("size"), "start")
-    row = F.row_number().over(Window.partitionBy("idx", "part").orderBy("h", "doc_id", "size"))
-    placed = placed.withColumn("row", row)
+    placed = _offsets(named.withColumn("part", F.substring("h", 1, digits)), "idx", "part", ["h", "doc_id", "size"], words_of, "first")
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
     spans = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).otherwise(F.array(F.lit(-1).cast("bigint")))
     cut = placed.withColumn("block", F.explode(spans))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    key = ["idx", "part", "row", "doc_id", "size", "source_size", "target"]
+    key = ["idx", "doc_id", "size", "copy", "source_size", "target"]
     taken = cut.join(times, ["idx", "block"], "left").groupBy(*key).agg(F.sum(F.when(F.col("size") > 0, words * F.coalesce("times", F.lit(0))).otherwise(0)).alias("taken"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
