@@ -22,6 +22,8 @@ from erlink.llm.common import map_batches
 
 BUCKETS = 1 << 16
 MAX_ROWS = 4000
+#: Of more labels than this the most frequent are learned (of equally frequent ones the smaller): a bound of the model, which is broadcast.
+MAX_LANGS = 128
 SMOOTHING = 0.05
 EM_STEPS = 15
 #: A further language must raise the log-likelihood by LOG_PENALTY * ln(n) + GRAM_PENALTY * n for n trigrams.
@@ -112,16 +114,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> MixtureModel:
-    """Learns from the labelled rows that are not held out: about max_rows of each language at most."""
+    """Learns from the labelled rows that are not held out: about max_rows of each language at most, of MAX_LANGS languages.
+
+    Null labels, ids and texts teach nothing; without any label the model knows no language. Other columns are not read.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
         return MixtureModel([], np.zeros((0, BUCKETS)))
     whole, part = 1_000_000, F.lit(0)
     for lang, n in sizes.items():
         part = F.when(F.col("lang") == lang, min(whole, max(1, whole * max_rows // n))).otherwise(part)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < part).select("lang", "text")
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < part).select("lang", "text")  # part is 0 for a label that is not learned
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -146,12 +151,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: MixtureModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (all, if None), then lang_pred, score and lang_mix, from the text alone; no shuffle.
 
-    Null texts and texts without a letter give "und", score 0 and an empty mix. Languages of equal likelihood: the
-    smaller code. Repeated rows each give a row. A kept column may not have the name of a new one: it is replaced.
+    Null texts and texts without a letter give "und", score 0 and an empty mix, and so do all without a learned language.
+    Languages of equal likelihood: the smaller code. Very long texts are read whole. Repeated rows each give a row, an
+    empty table none. A kept column may not have the name of a new one: it is replaced; other columns may have any name.
     """
     new = ("lang_pred", "score", "lang_mix")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.p.astype(np.float32)))  # languages x 256 KB
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.p.astype(np.float32)))  # MAX_LANGS x 256 KB at most
 
     def make():
         m = MixtureModel.__new__(MixtureModel)

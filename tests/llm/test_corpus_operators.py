@@ -133,6 +133,71 @@ def test_language_mixture(spark):
     assert got[202].lang_pred == "aa" and abs(float(share["aa"]) - letters) < 0.1
 
 
+def test_mix_of_equal_rows_and_rows_without_an_id(spark):
+    rows = [(None, "a b c", "s")] * 40 + [(None, None, None)] * 5 + [(7, "a b", "s")] * 30 + [(7, "a b c d", "t")] * 3 + [(8, "x " * 500, "t"), (None, "y z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit(1)).withColumn("h", F.lit("z")).repartition(3)
+    got = mixing.mix(df).collect()
+    assert collections.Counter((r.doc_id, r["size"]) for r in got) == collections.Counter((i, len((t or "").split())) for i, t, _ in rows)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(5)).collect()), key=str)
+    assert all(0 <= r.taken <= 3 * r["size"] for r in got)
+    by = collections.defaultdict(int)
+    for r in got:
+        by[r.source_size, r.target] += r.taken
+    assert all(abs(taken - target) <= 0.02 * target + 5 for (_, target), taken in by.items())
+
+
+def brute_mixture(model, text):
+    """The best penalised likelihood over all sets of languages, each by plain EM run for long."""
+    import itertools
+    import math
+
+    c = collections.Counter(langid.grams(text).tolist())
+    n = sum(c.values())
+    price, best = langid.LOG_PENALTY * math.log(n + 1) + langid.GRAM_PENALTY * n, (-math.inf, None)
+    for size in range(1, len(model.langs) + 1):
+        for chosen in itertools.combinations(range(len(model.langs)), size):
+            pi = [1 / size] * size
+            for _ in range(300):
+                new = [0.0] * size
+                for g, k in c.items():
+                    w = [p * model.p[i, g] for p, i in zip(pi, chosen)]
+                    for j in range(size):
+                        new[j] += k * w[j] / sum(w)
+                pi = [x / n for x in new]
+            ll = sum(k * math.log(sum(p * model.p[i, g] for p, i in zip(pi, chosen))) for g, k in c.items()) - price * (size - 1)
+            best = max(best, (ll, dict(zip(chosen, pi))), key=lambda x: x[0])
+    return best
+
+
+def test_language_sets_equal_brute_force():
+    rng = random.Random(12)
+    parts = {"aa": "ba be bo mi mo lu la ne".split(), "bb": "stra ktu prx gnz vlk mo".split(), "cc": "oui eau aux eux ien la".split()}
+    say = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(3)) for _ in range(n))
+    counts = np.zeros((3, langid.BUCKETS))
+    for i, k in enumerate(parts):
+        np.add.at(counts[i], langid.grams(say(k, 3000)), 1)
+    model = langid.MixtureModel(list(parts), counts)
+    for _ in range(25):
+        text = " ".join(say(k, rng.choice([0, 0, 4, 30])) for k in rng.sample(list(parts), 3)) or say("aa", 2)
+        if not len(langid.grams(text)):
+            continue
+        lang, score, mix = model.predict(text)
+        _, share = brute_mixture(model, text)
+        assert {x.split(":")[0] for x in mix.split(",")} == {model.langs[i] for i in share}, text
+        assert lang == model.langs[max(share, key=share.get)] and all(abs(float(x.split(":")[1]) - share[model.langs.index(x.split(":")[0])]) < 0.02 for x in mix.split(","))
+        assert 0 <= score <= 1
+
+
+def test_labels_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    rows = [(i, f"{'la mi ' if i % 3 else 'stra ktu '}word{i}", ["aa", "bb", "cc"][0 if i % 3 else 1] if i % 10 else "cc", "x", 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_mix string, score double")
+    model = langid.fit(df)
+    assert model.langs == ["aa", "bb"]
+    got = langid.identify(df.withColumn("text", F.when(F.col("doc_id") > 0, F.repeat("text", 3000)).otherwise(F.col("text"))), model, keep=["doc_id"]).collect()
+    assert len(got) == 200 and {r.lang_pred for r in got} == {"aa", "bb"}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs, langid.fit(docs)).where(langid.held_out(F.col("doc_id")))
