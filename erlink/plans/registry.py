@@ -40,7 +40,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from erlink.plans import queries_analytics, queries_blocking, queries_decide, queries_files, queries_match, queries_text, queries_tuning  # noqa: F401
+    from erlink.plans import queries_analytics, queries_blocking, queries_decide, queries_files, queries_match, queries_numbers, queries_text, queries_tuning  # noqa: F401
 
 
 _load()
