@@ -155,11 +155,17 @@ def claims(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("cand_id").agg(F.count_distinct("s1_id").alias("n_s1"))
 
 
-def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
-    """Mann-Whitney AUC with average ranks: from counts per distinct score, so that ranks need no window over all rows' order."""
-    by_score = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(positive).alias("pos"), F.sum(1 - F.col(positive)).alias("neg"))
-    order = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0)))
+def auc(rows: DataFrame, score: str, positive: str, step: float = 0.01) -> DataFrame:
+    """Mann-Whitney AUC with average ranks, from counts per distinct score.
+
+    Counts below a score are sums in two levels: over buckets of width step, of which there are few, and within a
+    bucket. So no task holds all distinct scores.
+    """
+    by_score = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(positive).alias("pos"), F.sum(1 - F.col(positive)).alias("neg")).withColumn("_b", F.floor(F.col(score) / step))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = by_score.groupBy("_b").agg(F.sum("neg").alias("_n")).withColumn("_below", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    order = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by_score.join(buckets, "_b").withColumn("below", F.col("_below") + F.coalesce(F.sum("neg").over(order), F.lit(0)))
     total = ranked.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return total.select("n_pos", "n_neg", F.round(F.col("wins") / (F.col("n_pos") * F.col("n_neg")), 6).alias("auc"))
 
@@ -167,9 +173,9 @@ def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
 def bootstrap(deltas: DataFrame, column: str, n: int = 2000, seed: int = 42) -> dict:
     """Paired bootstrap of a mean: resamples of one number per S1, drawn on the driver as multinomial counts of distinct values.
 
-    Deltas of F0.5 take few values, so only their counts are collected.
+    Deltas of F0.5 take few values, so only their counts are collected; they are rounded to a millionth, which bounds them.
     """
-    counted = deltas.groupBy(F.round(column, 9).alias("d")).agg(n_rows().alias("n")).orderBy("d").collect()
+    counted = deltas.groupBy(F.round(column, 6).alias("d")).agg(n_rows().alias("n")).orderBy("d").collect()
     values, weights = np.array([r["d"] for r in counted]), np.array([r["n"] for r in counted])
     size = int(weights.sum())
     draws = np.random.default_rng(seed).multinomial(size, weights / size, n) @ values / size

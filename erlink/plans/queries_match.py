@@ -131,7 +131,8 @@ def _(c):
     return match_query(c)
 
 
-@query("a07_address_numbers")
+@query("a07_address_numbers", r"""with n as (select entity_id, country, list_transform(regexp_extract_all(business_address, '[0-9]+'), lambda x: case when ltrim(x, '0') = '' then '0' else ltrim(x, '0') end) num, ltrim(regexp_extract(lower(business_address), 'unit ([0-9]+)', 1), '0') unit from raw_pool)
+ select entity_id, country, coalesce(num[1], '') primary_house_number, coalesce(num[1], '') house_head, coalesce(num[1], '') house_atoms, '' compound_number, unit unit_number, '' postal_strict, array_to_string(list_transform(list_sort(list_transform(list_distinct(num), lambda x: lpad(x, 9, '0'))), lambda x: case when ltrim(x, '0') = '' then '0' else ltrim(x, '0') end), ' ') number_tokens from n""", "er")
 def _(c):
     return A.numbers_of(c.raw_pool)
 
