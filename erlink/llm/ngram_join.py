@@ -333,7 +333,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Shingles of the classes that have a surviving pair, from the texts.
     wanted = materialize(alive.select("node").distinct().join(classes.select("node", "rep_id", "copies"), "node"), "join-candidates")
     n_wanted = wanted.count()
-    ids = small(wanted.select(F.col("rep_id").alias("rep")).distinct(), n_wanted, 16)
+    ids = small(wanted.select(F.col("rep_id").alias("rep")).distinct(), n_wanted, 64)
     texts = rows.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def shingle():
@@ -346,7 +346,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return one
 
     bodies = map_batches(texts, shingle, "node binary, shingles binary").where("node is not null")
-    bodies = materialize(bodies.join(small(wanted.select("node", "copies"), n_wanted, 64), "node").dropDuplicates(["node"]), "join-bodies")
+    bodies = materialize(bodies.join(small(wanted.select("node", "copies"), n_wanted, 128), "node").dropDuplicates(["node"]), "join-bodies")
     found = map_groups(alive.join(bodies, "node"), verify_group, "node binary, links bigint, root binary", False)
     found = materialize(found, "join-links")
 
@@ -354,10 +354,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     linked = materialize(found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root")), "join-linked")
     edges = found.select("node", F.col("root").alias("u")).join(linked.select("node", F.col("root").alias("v")), "node").select("u", "v").distinct()
     whole = materialize(components(edges).select(F.col("node").alias("root"), F.col("root").alias("top")), "join-components")
-    linked = linked.join(small(whole, whole.count(), 64), "root", "left").select("node", "links", F.coalesce("top", "root").alias("root"))
+    linked = linked.join(small(whole, whole.count(), 128), "root", "left").select("node", "links", F.coalesce("top", "root").alias("root"))
     tied = materialize(classes.select("node", "rep_id", "copies").join(linked, "node", "left"), "join-tied")
     heads = materialize(tied.where("root is not null").groupBy("root").agg(F.min("rep_id").alias("head")), "join-heads")
-    tied = tied.join(small(heads, heads.count(), 64), "root", "left")
+    tied = tied.join(small(heads, heads.count(), 128), "root", "left")
     alone_id = F.when(F.col("root").isNull(), F.col("rep_id")).otherwise(F.col("head"))
     by_node = tied.select("node", alone_id.alias("class_id"), "rep_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     full = signed.where("node is not null").select("doc_id", "text_hash", "node").join(by_node, "node")
