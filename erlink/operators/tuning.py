@@ -36,14 +36,19 @@ def levels(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.select("s1_id", "n_true", grid_level(F.col("z1")).alias("top"), F.coalesce(m, F.lit(-1)).cast("int").alias("margin"), grid_level(F.col("ez")).alias("exact"), gate.alias("gate"), F.coalesce("addr_missing", F.lit(0)).alias("addr_missing"))
 
 
-def below(curves: DataFrame, name: str, n: int) -> DataFrame:
-    """at (-1 .. n - 1), i, s, all: for each grid threshold the sum of F over S1 whose level is at most at, and over all S1. i = LAST + 1: nothing is predicted."""
-    spark = curves.sparkSession
-    grid = spark.range(n + 1).select((F.col("id") - 1).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(LAST + 1))).alias("i"))
-    sums = curves.groupBy(F.col(name).alias("at"), "i").agg(F.sum("f").alias("f"))
-    rows = grid.join(sums, ["at", "i"], "left").na.fill(0.0, ["f"])
-    up = Window.partitionBy("i").orderBy("at")
-    return rows.select("at", "i", F.sum("f").over(up).alias("s"), F.sum("f").over(Window.partitionBy("i")).alias("all"))
+def below(curves: DataFrame, name: str, n: int, *by: tuple[str, int]) -> DataFrame:
+    """by, at (-1 .. n - 1), i, s, all: for each grid threshold the sum of F over S1 whose level is at most at, and over all S1. i = LAST + 1: nothing is predicted.
+
+    by: names of further levels from 0 and how many there are.
+    """
+    grid = curves.sparkSession.range(n + 1).select((F.col("id") - 1).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(LAST + 1))).alias("i"))
+    for other, size in by:
+        grid = grid.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    keys = [other for other, _ in by]
+    sums = curves.groupBy(*keys, F.col(name).alias("at"), "i").agg(F.sum("f").alias("f"))
+    rows = grid.join(sums, [*keys, "at", "i"], "left").na.fill(0.0, ["f"])
+    whole = Window.partitionBy(*keys, "i")
+    return rows.select(*keys, "at", "i", F.sum("f").over(whole.orderBy("at")).alias("s"), F.sum("f").over(whole).alias("all"))
 
 
 def curves_by(pairs: DataFrame, leveled: DataFrame, *by: str) -> DataFrame:
@@ -58,7 +63,7 @@ def threshold(i: Column) -> Column:
     return F.when(i > LAST, F.lit(float("inf"))).otherwise(F.round(D.GRID_FIRST + D.GRID_STEP * i, 2))
 
 
-def _best(rows: DataFrame, rule: str, value: Column, n: int, *parameters: Column) -> DataFrame:
+def _best(rows: DataFrame, rule: str, n: int, value: Column, *parameters: Column) -> DataFrame:
     """The first row of the highest value, in the order of the parameters."""
     names = [f"p{k + 1}" for k in range(len(parameters))]
     scored = rows.select(*(p.cast("double").alias(x) for x, p in zip(names, parameters, strict=True)), F.round(value / n, 9).alias("v")).orderBy(F.desc("v"), *names).limit(1)
@@ -71,48 +76,46 @@ def search_rules(pairs: DataFrame, entities: DataFrame) -> DataFrame:
 
     The sums below a level give each rule's value at every point of its grid without going back to the pairs.
     """
-    leveled = levels(pairs, entities).persist()
+    pairs, leveled = pairs.select("s1_id", "cand_id", "z", "label", "name_exact", "addr_missing").persist(), levels(pairs, entities).persist()
     n = leveled.count()
     inside = F.col("i") <= LAST
     try:
         out = []
         # Of a rule with two thresholds, S1 below a level take one and the others the other.
         exact = below(curves_by(pairs, leveled, "exact"), "exact", D.GRID_POINTS).persist()
-        out.append(_best(exact.where((F.col("at") == -1) & inside), "A", F.col("all"), n, threshold(F.col("i"))))
+        out.append(_best(exact.where((F.col("at") == -1) & inside), "A", n, F.col("all"), threshold(F.col("i"))))
         own = exact.where(F.col("i") == F.col("at") + 1).where(inside).select("at", (F.col("all") - F.col("s")).alias("low"), F.col("i").alias("t"))
         both = own.join(exact, "at").where((F.col("i") >= F.col("t")) & inside)
-        out.append(_best(both, "B1", F.col("low") + F.col("s"), n, threshold(F.col("t")), threshold(F.col("i"))))
+        out.append(_best(both, "B1", n, F.col("low") + F.col("s"), threshold(F.col("t")), threshold(F.col("i"))))
 
         missing = below(curves_by(pairs, leveled, "addr_missing"), "addr_missing", 2).where(F.col("at") == 0).where(inside)
         low = missing.select("at", F.col("i").alias("t"), F.col("s").alias("low"))
         both = low.join(missing, "at").where(F.col("i") >= F.col("t"))
-        out.append(_best(both, "B2", F.col("low") + F.col("all") - F.col("s"), n, threshold(F.col("t")), threshold(F.col("i"))))
+        out.append(_best(both, "B2", n, F.col("low") + F.col("all") - F.col("s"), threshold(F.col("t")), threshold(F.col("i"))))
 
         gate = below(curves_by(pairs, leveled, "gate"), "gate", GATE_POINTS).where(F.col("at") < GATE_POINTS - 1)
         low = gate.where(inside).select("at", F.col("i").alias("t"), F.col("s").alias("low"))
         both = low.join(gate, "at").where(F.col("i") >= F.col("t"))
-        out.append(_best(both, "B3", F.col("low") + F.col("all") - F.col("s"), n, F.round((F.col("at") + 2) * GATE_STEP, 2), threshold(F.col("t")), threshold(F.col("i"))))
-
-        # Only S1 whose top score and margin reach their levels predict anything.
-        cells = curves_by(pairs, leveled, "top", "margin").persist()
-        for rule, least in (("C1", [-1]), ("C2", range(len(MARGINS)))):
-            per = None
-            for m in least:
-                kept = cells.select("top", "i", F.when(F.col("margin") >= m, F.col("f")).otherwise(0.0).alias("f"))
-                rest = cells.where((F.col("i") == LAST + 1) & (F.col("margin") < m)).agg(F.coalesce(F.sum("f"), F.lit(0.0)))
-                one = below(kept, "top", D.GRID_POINTS).withColumn("m", F.lit(m)).withColumn("rest", rest.scalar())
-                per = one if per is None else per.unionByName(one)
-            per = per.persist()
-            empty = per.where(F.col("i") == LAST + 1).select("m", "at", F.col("s").alias("empty"))
-            rows = per.where(inside & (F.col("i") <= F.col("at") + 1) & (F.col("at") < LAST)).join(empty, ["m", "at"])
-            value = F.col("all") - F.col("s") + F.col("empty") + F.col("rest")
-            margin = F.element_at(F.array(*map(F.lit, MARGINS)), F.greatest(F.col("m"), F.lit(0)) + 1)
-            first, t = threshold(F.col("at") + 1), threshold(F.col("i"))
-            out.append(_best(rows, rule, value, n, first, t) if rule == "C1" else _best(rows, rule, value, n, first, margin, t))
+        out.append(_best(both, "B3", n, F.col("low") + F.col("all") - F.col("s"), F.round((F.col("at") + 2) * GATE_STEP, 2), threshold(F.col("t")), threshold(F.col("i"))))
+
+        # Only S1 whose top score and margin reach their levels predict anything; m is the margin that is asked for.
+        cells = curves_by(pairs, leveled, "top", "margin").withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(len(MARGINS) - 1))))
+        kept = below(cells.where(F.col("margin") >= F.col("m")), "top", D.GRID_POINTS, ("m", len(MARGINS))).persist()
+        rest = cells.where((F.col("i") == LAST + 1) & (F.col("margin") < F.col("m"))).groupBy("m").agg(F.sum("f").alias("rest"))
+        empty = kept.where(F.col("i") == LAST + 1).select("m", "at", F.col("s").alias("empty")).join(rest, "m", "left").na.fill(0.0, ["rest"])
+        rows = kept.where(inside & (F.col("i") <= F.col("at") + 1) & (F.col("at") < LAST)).join(empty, ["m", "at"])
+        value, first, t = F.col("all") - F.col("s") + F.col("empty") + F.col("rest"), threshold(F.col("at") + 1), threshold(F.col("i"))
+        margin = F.get(F.array(*map(F.lit, MARGINS)), F.col("m"))
+        plain = below(curves_by(pairs, leveled, "top"), "top", D.GRID_POINTS).persist()
+        none = plain.where(F.col("i") == LAST + 1).select("at", F.col("s").alias("empty"))
+        alone = plain.where(inside & (F.col("i") <= F.col("at") + 1) & (F.col("at") < LAST)).join(none, "at")
+        out.append(_best(alone, "C1", n, F.col("all") - F.col("s") + F.col("empty"), first, t))
+        out.append(_best(rows, "C2", n, value, first, margin, t))
         whole = reduce(DataFrame.unionByName, out)
         return whole.sparkSession.createDataFrame(whole.collect(), whole.schema)  # a row a rule
     finally:
-        leveled.unpersist()
+        for kept in (pairs, leveled):
+            kept.unpersist()
 
 
 def recovery_curves(pairs: DataFrame, entities: DataFrame, t: float = D.T_HIGH) -> DataFrame:
