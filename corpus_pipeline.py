@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erlink.llm import bpe, langid, mixing, ngram_join, pii
-from erlink.llm.common import materialize, neutral, table
+from erlink.llm.common import materialize, neutral, small, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Documents whose best language explains less than this are rejected: mixtures of several, or too little text to tell.
@@ -37,10 +37,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     plain, names = neutral(docs)
     key, rest = names["doc_id"], [c for c in plain.columns if c != names["doc_id"]]
     found = ngram_join.join(docs).where("doc_id is not null").select("doc_id", "text_hash", F.coalesce("root", F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("root"))
-    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select(F.col("least.doc_id").alias(key), F.col("least.text_hash").alias("h")).distinct()
+    found = materialize(found, "pipeline-classes")
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    least = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select("least.*").distinct()
+    kept = materialize(least.join(rows, ["doc_id", "text_hash"]).select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), "n"), "pipeline-kept")
+    # The texts are not shuffled but where the list of those kept is too long to broadcast, and where rows repeat id and text.
     marked = plain.withColumn("h", F.xxhash64(F.col(names["text"]).cast("string")))
-    once = marked.join(kept, [key, "h"], "left_semi").groupBy(key, "h").agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*")
-    return once.select(*plain.columns).unionByName(plain.where(F.col(key).isNull())).toDF(*docs.columns)
+    ours = marked.join(small(kept, kept.count(), 64), (marked[key] == kept["k"]) & (marked["h"] == kept["h"])).drop(kept["h"])
+    once = ours.where("n = 1").select(*plain.columns)
+    repeated = ours.where("n > 1").groupBy(key, "h").agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*").select(*plain.columns)
+    return once.unionByName(repeated).unionByName(plain.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
