@@ -62,7 +62,8 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     plain, names = neutral(docs)
     counts = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("cast(round(taken / size) as int)").alias("times")).where("times > 0")
-    counts = counts.groupBy("doc_id").agg(F.max("times").alias("times"))
+    counts = materialize(counts.groupBy("doc_id").agg(F.max("times").alias("times")), "pipeline-times")
+    counts = small(counts, counts.count(), 64)
     both = plain.join(counts, plain[names["doc_id"]].eqNullSafe(counts["doc_id"]))
     return both.select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*plain.columns).toDF(*docs.columns)
 
