@@ -185,11 +185,9 @@ SWEEP_SQL = " union all ".join([*(_sweep_sql(x, _token_hits_sql(c, n, d, k), lim
 
 
 def sweeps(c):
-    out = M.sweep(M.key_hits(c.s1, c.pool, "street_number").withColumnRenamed("df", "value"), c.truth, STREET_CAPS, "street_cap")
-    for name, (column, n, max_df, k, grid, limit) in SWEEPS.items():
-        tokens = B.column_ngrams(column, n) if n else lambda column=column: F.col(f"{column}_tokens")
-        out = out.unionByName(M.sweep(M.token_hits(c.s1, c.pool, tokens, max_df, k).withColumnRenamed(limit, "value"), c.truth, grid, name))
-    return out
+    of = [M.Sweep("street_cap", B.Channel("street_cap", "street_number", "exact", STREET_CAPS[-1]), "df", STREET_CAPS)]
+    of += [M.Sweep(name, B.Channel(name, column, "token", max_df, k, 1, n), limit, grid) for name, (column, n, max_df, k, grid, limit) in SWEEPS.items()]
+    return M.sweeps(c.s1, c.pool, c.truth, of)
 
 
 @query("g10_sweeps", f"select * from ({SWEEP_SQL})", "er")

@@ -56,3 +56,15 @@ def test_shared_tokens_are_not_shuffled(spark):
     _, _, a, b = tables(spark)
     plan = B.candidates(a, b, (B.Channel("z", "name", "token", 1000, 5),)).groupBy().agg(F.count(F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert "cand_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def test_sweeps_count_without_pairs():
+    """Failed before: sweeps had no such count, and made a row for every shared token."""
+    import numpy as np
+
+    draw, marks = random.Random(3), np.zeros(50, np.int64)
+    lists = [np.array(sorted(draw.sample(range(50), n))) for n in (3, 9, 20, 40)]
+    tags = np.array([(0, r + 1, len(x)) for r, x in enumerate(lists)])
+    _, got = S.first_counts(((2, (5, 9, 30)), (1, (1,))))(lists, tags, marks)
+    upto = [len(set().union(*(x.tolist() for x in lists if len(x) <= g))) for g in (5, 9, 30)]
+    assert np.cumsum(got[:3]).tolist() == upto and got[3] == 0 and not marks.any()
