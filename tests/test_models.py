@@ -135,3 +135,16 @@ def test_end_to_end_match_is_mostly_true(spark):
     assert len({(r.s1_id, r.cand_id) for r in got}) == len(got) and sum(r.label for r in got) >= 0.9 * len(got) and len(got) >= 0.4 * c.truth.count()
     per = c.s1.select("entity_id").count()
     assert len({r.s1_id for r in got}) <= per
+
+
+def test_fits_keep_distinct_rows(spark, monkeypatch):
+    """Failed before: the logistic fit kept every pair, twice; the trees scored every pair. Counted rows give the same fit."""
+    rows = spark.createDataFrame([(float(i % 5), float(i % 3), int(i % 7 < 3)) for i in range(600)], "a double, b double, label int")
+    kept = []
+    plain = L.materialize
+    monkeypatch.setattr(L, "materialize", lambda r, name: kept.append(out := plain(r, name)) or out)
+    m = L.fit(rows, ["a", "b"])
+    assert kept[0].count() <= 30 and kept[0].agg({"_n": "sum"}).first()[0] == 600
+    assert m.mean == pytest.approx((2.0, 1.0)) and m.scale == pytest.approx((2**0.5, (2 / 3) ** 0.5))
+    _, ready = L.fit_trees(rows, ["a", "b"], rounds=1)
+    assert ready.count() <= 30
