@@ -82,7 +82,7 @@ _TOKEN_JOINS = {
 for _name, (_col, _df, _k, _m, _n) in _TOKEN_JOINS.items():
     _words = f"(select {_ngram_sql(_n)} from (select replace({_col}, ' ', '') x))" if _n else toks(_col)
     query(_name, f"with {token_ctes('t', _words, _df, _k, _m)} select s1_id, cand_id, overlap from t", "er")(
-        lambda c, col=_col, df=_df, k=_k, m=_m, n=_n: B.token_join(c.s1, c.pool, B.column_ngrams(col, n) if n else B.column_tokens(col), df, k, m)
+        lambda c, col=_col, df=_df, k=_k, m=_m, n=_n: B.dense_token_join(c.s1, c.pool, B.column_ngrams(col, n), df, k, m) if n else B.token_join(c.s1, c.pool, B.column_tokens(col), df, k, m)
     )
 
 #: Names with an accent on one side: only their transliterations share tokens.

@@ -36,7 +36,7 @@ def shared(s1, pool, max_df, k):
 @pytest.mark.parametrize("max_df,k,least", [(1000, 8, 1), (22, 2, 1), (1000, 5, 2)])
 def test_token_join_is_brute_force(spark, max_df, k, least):
     s1, pool, a, b = tables(spark)
-    got = B.token_join(a, b, B.column_tokens("name"), max_df, k, least)
+    got = B.dense_token_join(a, b, B.column_tokens("name"), max_df, k, least)
     assert Counter({(r.s1_id, r.cand_id): r.overlap for r in got.collect()}) == {p: n for p, n in shared(s1, pool, max_df, k).items() if n >= least}
     assert got.count() == got.select("s1_id", "cand_id").distinct().count()
 
