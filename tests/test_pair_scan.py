@@ -73,3 +73,18 @@ def test_pairs_are_not_joined_to_records(spark):
     plan = registry.QUERIES["f06_f09_f20_f42_similarities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above = plan.split("MapInArrow")[0]
     assert "MapInArrow" in plan and "Exchange" not in above and "Join" not in above and "ArrowEvalPython" not in plan
+
+
+def test_fit_from_sums_is_the_fit(spark):
+    """Failed before: the match kept a row for every pair it was fitted on. A poor start gives the same model."""
+    features = ("name_token_jaccard", "name_fuzz_ratio", "address_fuzz_ratio", "num_token_overlap", "from_b3", "country_equal")
+    c = registry.Context(spark, "/root/testdata/sf0.001")
+    scan, half = Q.compared(c), F.crc32("s1_id") % 2 == 0
+    rows = Q.feature_pairs(c).where(half)
+    want = L.fit(rows, features)
+    starts = [want, L.LinearModel(features, (0.3,) * 6, (2.0, 0.5, 1.0, 3.0, 1.0, 1.0), (0.0,) * 6, 0.0)]
+    dealt = scan.dealt(half).persist()
+    for start in starts:
+        got = L.fit_sums(lambda mean, scale, at: scan.scan(S.SUMS, S.sums_of(features, mean, scale, at), dealt).collect(), start)
+        assert L.refit_difference(got, want) < 1e-6
+    assert L.refit_difference(Q.fit_all(scan, half, features), want) < 1e-6
