@@ -88,3 +88,10 @@ def test_fit_from_sums_is_the_fit(spark):
         got = L.fit_sums(lambda mean, scale, at: scan.scan(S.SUMS, S.sums_of(features, mean, scale, at), dealt).collect(), start)
         assert L.refit_difference(got, want) < 1e-6
     assert L.refit_difference(Q.fit_all(scan, half, features), want) < 1e-6
+
+
+def test_ablation_and_match_make_no_rows_of_all_pairs(spark, monkeypatch):
+    """Failed before: both made a row for every pair, the ablation seven times or out of a cache."""
+    monkeypatch.setattr(B, "candidates", None)
+    for name in ("t05_ablation", "match_end_to_end"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
