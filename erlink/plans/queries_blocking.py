@@ -206,11 +206,7 @@ def _config_recall(name: str) -> str:
 
 @query("g12_config_comparison", " union all ".join(f"select * from {_config_recall(n)}" for n in B.CONFIGS), "er")
 def _(c):
-    out = None
-    for name in B.CONFIGS:
-        one = M.channel_recall(c.s1, c.pool, c.truth, B.CONFIGS[name]).select(F.lit(name).alias("config"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return M.config_recall(c.s1, c.pool, c.truth, B.CONFIGS)
 
 
 @query("g29_candidate_stats", f"with {D3} select country, round(avg(n), 6) mean_cand, quantile_cont(n, 0.5)::double p50, quantile_cont(n, 0.9)::double p90, quantile_cont(n, 0.99)::double p99, max(n)::bigint max_cand, round(100 * avg((n = 0)::int), 6) pct_zero from (select country, entity_id, count(cand_id) n from s1 left join cand on s1_id = entity_id group by all) group by country", "er")

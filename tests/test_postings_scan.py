@@ -80,3 +80,23 @@ def test_channel_recall_makes_no_pairs(spark, monkeypatch):
     want = M.blocking_recall(a, b, truth, B.candidates(a, b, channels)).first()
     monkeypatch.setattr(B, "candidates", None)
     assert M.channel_recall(a, b, truth, channels).first() == want and want.found_edges > 0
+
+
+def test_configurations_share_one_scan(spark, monkeypatch):
+    """Failed before: each configuration had a scan and a plan of its own, seven in one, which took the driver's memory."""
+    from erlink.operators import metrics as M
+
+    _, _, a, b = tables(spark)
+    token = lambda name, *more: B.Channel(name, "name", "token", *more)
+    configs = {
+        "p": (token("x", 1000, 5, 2), B.Channel("y", "name")), "q": (token("z", 22, 4), B.Channel("y", "name", "exact", 1)), "r": (token("z", 1000, 2),),
+        "s": (token("x", 30, 5, 2), token("n", 40, 3, 1, 2)), "t": (token("z", 1, 1),),
+    }
+    truth = spark.createDataFrame([(f"S-{i}", f"P-{j}") for i in range(40) for j in (i, i + 40, 3, 3)], "s1_id string, cand_id string")
+    want = {name: M.blocking_recall(a, b, truth, B.candidates(a, b, channels)).first() for name, channels in configs.items()}
+    assert len({r.mean_cand for r in want.values()}) == 5 and len(B.united(B.CONFIGS)[0]) == 7
+    scans, scan = [], S.Asked.scan
+    monkeypatch.setattr(S.Asked, "scan", lambda *x: scans.append(1) or scan(*x))
+    got = M.config_recall(a, b, truth, configs)
+    assert got.columns == ["config", *want["p"].__fields__] and len(scans) == 1
+    assert {r.config: tuple(r)[1:] for r in got.collect()} == {name: tuple(r) for name, r in want.items()}
