@@ -95,3 +95,21 @@ def test_ablation_and_match_make_no_rows_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(B, "candidates", None)
     for name in ("t05_ablation", "match_end_to_end"):
         assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("batch,pairs", [(1 << 15, 20_000_000), (7, 40)])
+def test_records_dealt_by_token_give_the_same_pairs(spark, monkeypatch, batch, pairs):
+    """Failed before: every record went to every block, which grows with the square of the tables."""
+    draw = random.Random(11)
+    s1, pool = records(spark, "S1", 40, draw).localCheckpoint(), records(spark, "S2", 90, draw).localCheckpoint()
+    truth = spark.createDataFrame([(f"S1-{k}", f"S2-{j}") for k in range(40) for j in (k, k + 3)] * 2, "s1_id string, cand_id string")
+    channels = (*CHANNELS, B.Channel("two", "address_norm", "token", 500, 6, 2))
+    scan = S.Compared(B.asked(s1, pool, channels), s1, pool, truth, tuple(c.name for c in channels), B.least_overlaps(channels))
+    features = (*FEATURES, "from_two")
+    run = lambda: sorted(map(str, scan.scan(f"s1_id string, cand_id string, {S.schema_of(features)}, label int", S.rows_of(features)).collect()))
+    want = run()
+    monkeypatch.setattr(S, "BY_TOKEN", 0)
+    monkeypatch.setattr(S, "BATCH", batch)
+    monkeypatch.setattr(S, "CODE_PAIRS", pairs)
+    assert scan.dealt().select("block").distinct().collect() == [(-1,)]
+    assert len(want) > 400 and run() == want
